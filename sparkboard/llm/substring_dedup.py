@@ -165,54 +165,76 @@ def _doubled(length: int, levels: int, bits: int):
         piece = np.searchsorted(ends, at, "right")
         inside = at - (ends - pieces[:, 3])[piece]
         counts = inside < pieces[piece, 4]
-        hashes, piece, start = hashes[counts], piece[counts], inside[counts] + pieces[piece[counts], 2]
+        hashes, at, ids, start = hashes[counts], at[counts], pieces[piece[counts], 0], inside[counts] + pieces[piece[counts], 2]
         if not len(hashes):
             return pa.Table.from_batches([_blob_table([])])
-        ids, texts = pieces[piece, 0], pieces[piece, 1]
-        order = np.lexsort((start, ids, hashes))
-        hashes, ids, texts, start = hashes[order], ids[order], texts[order], start[order]
-        head = np.ones(len(hashes), bool)
-        head[1:] = hashes[1:] != hashes[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        later = (ids != ids[lead]) | (start != start[lead])
-        rows = [(chunk, chunk, REMOVED, np.stack([ids[later], texts[later], start[later]]).tobytes())] if later.any() else []
+        hashes, ids, start, at, later = _order(hashes, ids, start, at)
+        rows = [(chunk, chunk, INDEX, index[0])]
+        if later.any():
+            rows.append((chunk, chunk, REMOVED, wh.pack(np.sort(at[later]).astype(_U))))
         lone = ~later
-        hashes, ids, texts, start = hashes[lone], ids[lone], texts[lone], start[lone]
+        hashes, ids, start, at = hashes[lone], ids[lone], start[lone], at[lone]
         edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
-        for k, (h, a, b, c) in enumerate(zip(*(np.split(x, edges) for x in (hashes, ids, texts, start)), strict=True)):
+        for k, (h, *rest) in enumerate(zip(*(np.split(x, edges) for x in (hashes, ids, start, at)), strict=True)):
             if len(h):
-                rows.append((k, chunk, HASHES, len(h).to_bytes(8, "little") + wh.pack(h) + np.stack([a, b, c]).tobytes()))
+                packed = [wh.pack(h), *(wh.pack_any(x) for x in rest)]
+                rows.append((k, chunk, HASHES, b"".join([*(len(x).to_bytes(4, "little") for x in packed), *packed])))
         return pa.Table.from_batches([_blob_table(rows)])
 
     return run
 
 
-_SPANS = "id long, text_hash long, starts binary"
+def _order(hashes: np.ndarray, ids: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All by hash, id and start, and which of them have an earlier equal."""
+    order = np.lexsort((start, ids, hashes))
+    hashes, ids, start = hashes[order], ids[order], start[order]
+    head = np.ones(len(hashes), bool)
+    head[1:] = hashes[1:] != hashes[:-1]
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    return hashes, ids, start, *(x[order] for x in more), (ids != ids[lead]) | (start != start[lead])
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of a range of the last level's hashes: all starts that have an earlier one, by text."""
-    kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
-    late = [np.frombuffer(blobs[int(i)].as_py(), np.int64).reshape(3, -1) for i in np.flatnonzero(kinds == REMOVED)]
-    hashes, rest = [], []
-    for i in np.flatnonzero(kinds == HASHES):
+    """Of a range of the last level's hashes: the positions that have an earlier equal, by chunk. Other rows pass."""
+    kinds, blobs, chunks = table.column("kind").to_numpy(), table.column("blob"), table.column("chunk").to_numpy()
+    rows = [(int(chunks[i]), int(chunks[i]), int(kinds[i]), blobs[int(i)].as_py()) for i in np.flatnonzero(kinds != HASHES)]
+    own = np.flatnonzero(kinds == HASHES)
+    parts: list[list[np.ndarray]] = []
+    for n, i in enumerate(own):
         blob = blobs[int(i)].as_py()
-        n = int.from_bytes(blob[:8], "little")
-        rest.append(np.frombuffer(blob[-24 * n :], np.int64).reshape(3, n))
-        hashes.append(wh.unpack(blob[8 : -24 * n]))
-    if hashes:
-        h, r = np.concatenate(hashes), np.concatenate(rest, axis=1)
-        order = np.lexsort((r[2], r[0], h))
-        h, r = h[order], r[:, order]
-        head = np.ones(len(h), bool)
-        head[1:] = h[1:] != h[:-1]
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-        late.append(r[:, (r[0] != r[0, lead]) | (r[2] != r[2, lead])])
-    every = np.concatenate(late, axis=1) if late else np.zeros((3, 0), np.int64)
-    every = every[:, np.lexsort(every[::-1])]
-    cuts = np.flatnonzero((every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1])) + 1
-    heads = np.concatenate([[0], cuts]) if every.shape[1] else np.zeros(0, np.int64)
-    return pa.table({"id": pa.array(every[0, heads]), "text_hash": pa.array(every[1, heads]), "starts": pa.array([wh.pack(x.astype(_U)) for x in np.split(every[2], cuts)] if len(heads) else [], pa.binary())})
+        cuts = 16 + np.cumsum([0, *np.frombuffer(blob[:16], "<u4")])
+        hashes, *rest = (blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        h = wh.unpack(hashes)
+        parts.append([h, *(wh.unpack_any(x) for x in rest), np.full(len(h), n)])
+    if parts:
+        *_, at, source, later = _order(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        at, source = at[later], source[later]
+        order = np.lexsort((at, source))
+        at, source = at[order], source[order]
+        heads = np.flatnonzero(np.diff(source, prepend=-1))
+        for x, n in zip(np.split(at, heads[1:]) if len(at) else [], source[heads].tolist(), strict=True):
+            rows.append((int(chunks[own[n]]), int(chunks[own[n]]), REMOVED, wh.pack(x.astype(_U))))
+    return pa.Table.from_batches([_blob_table(rows)])
+
+
+_SPANS = "id long, text_hash long, starts binary"
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """Of a chunk: the starts to be removed, for each text."""
+    kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
+    index = [blobs[int(i)].as_py() for i in np.flatnonzero(kinds == INDEX)]
+    gone = [wh.unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == REMOVED)]
+    out: list[tuple[int, int, bytes]] = []
+    if index and gone:
+        pieces = np.frombuffer(index[0], np.int64).reshape(-1, 5)
+        at, ends = np.unique(np.concatenate(gone)).astype(np.int64), np.cumsum(pieces[:, 3])
+        piece = np.searchsorted(ends, at, "right")
+        start = at - (ends - pieces[:, 3])[piece] + pieces[piece, 2]
+        heads = np.flatnonzero(np.diff(piece, prepend=-1))
+        out = [(int(pieces[k, 0]), int(pieces[k, 1]), wh.pack(x.astype(_U))) for k, x in zip(piece[heads].tolist(), np.split(start, heads[1:]), strict=True)]
+    ids, texts, starts = zip(*out, strict=True) if out else ([],) * 3
+    return pa.table({"id": pa.array(ids, pa.int64()), "text_hash": pa.array(texts, pa.int64()), "starts": pa.array(starts, pa.binary())})
 
 
 def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -231,7 +253,8 @@ def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_
     first = rows.mapInArrow(_first_level(length, window, bits), _BLOBS)
     known = first.groupBy(F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")).applyInArrow(_repeated, _BLOBS)
     doubled = known.groupBy("chunk").applyInArrow(_doubled(length, levels, bits), _BLOBS)
-    return doubled.groupBy(F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")).applyInArrow(_later, _SPANS)
+    late = doubled.groupBy(F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")).applyInArrow(_later, _BLOBS)
+    return late.groupBy("chunk").applyInArrow(_by_text, _SPANS)
 
 
 def _merged(window: int):

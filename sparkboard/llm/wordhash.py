@@ -136,3 +136,15 @@ def unpack(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[-8:], "little")
     planes = np.frombuffer(pa.decompress(blob[:-8], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
     return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+
+
+def pack_any(values: np.ndarray) -> bytes:
+    """Any int64 values, compressed by byte planes."""
+    values = np.ascontiguousarray(values, np.int64)
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+
+
+def unpack_any(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[-8:], "little")
+    planes = np.frombuffer(pa.decompress(blob[:-8], 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
