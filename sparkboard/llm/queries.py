@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .embedding_dedup import embedding_groups
 from .minhash_dedup import near_duplicates
 from .mixing import mixed
 from .sharding import shard_plan
@@ -30,6 +31,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).drop("source")
 
 
+@_query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @_query
 def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=40)
