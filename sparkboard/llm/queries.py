@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .embedding_dedup import embedding_groups
+from .html_text import extract_pages
 from .language_id import identify
 from .minhash_dedup import near_duplicates
 from .mixing import mixed
@@ -37,6 +38,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@_query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=40)
