@@ -10,10 +10,14 @@ from .decontaminate import contamination
 from .embedding_dedup import embedding_groups
 from .html_text import extract_pages
 from .language_id import identify
+from .license_scan import oracle as license_oracle
+from .license_scan import scan_licenses
 from .minhash_dedup import near_duplicates
 from .mixing import mixed
 from .sharding import shard_plan
 from .substring_dedup import remove_repeats
+from .url_filter import ORACLE as URL_ORACLE
+from .url_filter import example_captures, example_list, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +67,48 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+@_query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), window=20, levels=1, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+@_query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return filter_urls(example_captures(pages), example_list(pages))
+
+
+ORACLE_SQL["op8_license_scan"] = license_oracle()
+ORACLE_SQL["op10_url_filter"] = URL_ORACLE
+ORACLE_SQL["op9_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM late, (SELECT unnest(range(0, 20)) AS o)),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w),
+kept AS (SELECT words.doc_id, string_agg(words.x, ' ' ORDER BY words.p) AS t, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+ORACLE_SQL["op6_benchmark_decontamination"] = r"""
+WITH low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM low),
+b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS k FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, i, z.n, array_to_string(ws[i:i + z.n - 1], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) y, (SELECT DISTINCT n FROM bw) z WHERE i + z.n - 1 <= len(ws)),
+hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(items.n_items, 0) AS n_items, sha256(coalesce(items.s, '')) AS items_sha256, coalesce(pos.n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN items ON items.doc_id = w.doc_id"""
+ORACLE_SQL["op2_embedding_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(m.b, x.vec_id)) AS component_id, x.vec_id = least(x.vec_id, coalesce(m.b, x.vec_id)) AS kept
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN m ON m.a = x.vec_id"""
