@@ -257,30 +257,20 @@ def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_
     return late.groupBy("chunk").applyInArrow(_by_text, _SPANS)
 
 
-def _merged(window: int):
-    def run(table: pa.Table) -> pa.Table:
-        starts = np.unique(np.concatenate([wh.unpack(x.as_py()) for x in table.column("starts")])).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(starts) > window) + 1
-        spans = np.array([(x[0], x[-1] + window) for x in np.split(starts, cuts)], np.int64)
-        return pa.table({"id": table.column("id")[:1], "text_hash": table.column("text_hash")[:1], "spans": pa.array([spans.tobytes()], pa.binary())})
-
-    return run
+def merged_spans(starts: list[bytes], window: int) -> list[tuple[int, int]]:
+    """Spans of words [from, to) that the windows at the packed ``starts`` cover."""
+    at = np.unique(np.concatenate([wh.unpack(x) for x in starts])).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(at) > window) + 1
+    return [(int(x[0]), int(x[-1]) + window) for x in np.split(at, cuts)]
 
 
-def removal_spans(documents: DataFrame, window: int = 20, levels: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text_hash, spans): for each text that loses words, its merged spans of
-    word positions [from, to) as int64 pairs in a binary column."""
-    starts = repeated_starts(documents, window, levels, id_column, text_column)
-    return starts.groupBy("id", "text_hash").applyInArrow(_merged(window), "id long, text_hash long, spans binary")
-
-
-def _cut(keep_text: bool):
+def _cut(keep_text: bool, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, out = [], [], []
-            for text, spans in zip(batch.column("x").cast(pa.large_binary()), batch.column("spans"), strict=True):
+            for text, starts in zip(batch.column("x").cast(pa.large_binary()), batch.column("starts"), strict=True):
                 own = (text.as_py() or b"").split()
-                cuts = np.frombuffer(spans.as_py(), np.int64).reshape(-1, 2).tolist() if spans.is_valid else []
+                cuts = merged_spans(starts.as_py(), window) if starts.is_valid else []
                 kept, at, gone = [], 0, 0
                 for a, b in cuts:
                     kept += own[at:a]
@@ -302,8 +292,9 @@ def remove_repeats(documents: DataFrame, window: int = 20, levels: int = 1, id_c
     Rows with the same id and text are one document: neither comes earlier than
     the other. A null id counts as the largest. Other columns play no part.
     """
-    spans = written(removal_spans(documents, window, levels, id_column, text_column), "spans")
+    starts = repeated_starts(documents, window, levels, id_column, text_column)
+    starts = written(starts.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts")), "starts")  # a row or two for a text
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("x"), F.coalesce(F.col(id_column).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(text_column).alias("text_hash"))
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "text_hash"], "left").select("doc_id", "x", "spans")
+    joined = rows.join(starts.hint("shuffle_hash"), ["id", "text_hash"], "left").select("doc_id", "x", "starts")
     kind = documents.select(F.col(id_column)).dtypes[0][1]
-    return joined.mapInArrow(_cut(not digest), f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(_cut(not digest, window), f"doc_id {kind}, n_words long, n_removed long, kept string")
