@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from . import wordhash as wh
 from .fm_index import FMIndex
+from .shared import small_batches
 
 BLOCK_BYTES = 8 << 20  # of benchmark text that is broadcast at once
 SHARD_WORDS = 1 << 19
@@ -175,6 +176,7 @@ def phrase_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, te
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = documents.sparkSession
+    small_batches(spark, 4000)
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("binary"), F.lit(b"")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     parts = max(1, -(-int(size) // BLOCK_BYTES))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 WINDOW, SURGE, SHARE = 3, 60, 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
@@ -173,5 +175,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     A null or empty page, and one without text, has an empty text. Repeated rows come
     out as often; other columns play no part.
     """
+    small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(_extracted, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")

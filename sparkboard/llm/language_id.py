@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shared import small_batches
 
 FEATURES = 1 << 16
 PER_LANGUAGE, LANGUAGES = 400, 200  # the sample's bounds: texts of a language, languages (the commonest)
@@ -149,6 +152,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     Rows with a null lang or without letters teach nothing; without any other row
     the model knows no language and answers ``und`` always.
     """
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null")
     counted = labelled.select("text").mapInArrow(_document_counts, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()  # 17 rows of a fixed size
     parts = {x.part: np.frombuffer(x.counts, np.int64) for x in counted}
@@ -170,12 +174,14 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, idf, weights.astype(np.float64), heat)
 
 
-def _predicted(broadcast):
+def _predicted(broadcast, keep: list[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = broadcast.value
         for batch in batches:
-            answers = [model.predict(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in answers], pa.string()), pa.array([x for _, x in answers], pa.float64())], names=["row", "lang_pred", "score"])
+            row = batch.column("row")
+            answers = [model.predict(x.as_py()) for x in row.field("text")]
+            kept = row if keep is None else pa.StructArray.from_arrays([row.field(c) for c in keep], keep)
+            yield pa.RecordBatch.from_arrays([kept, pa.array([x for x, _ in answers], pa.string()), pa.array([x for _, x in answers], pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
@@ -193,10 +199,11 @@ def languages(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     probability of the language named. Other columns play no part.
     """
     spark = documents.sparkSession
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    rows = documents.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.select("row").schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model)), f"row {kind}, lang_pred string, score double")
+    small_batches(spark)
+    asked = keep if "text" in keep else [*keep, "text"]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in asked]).alias("row"))
+    schema = T.StructType([T.StructField("row", T.StructType([documents.schema[c] for c in keep])), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predicted(spark.sparkContext.broadcast(model), None if asked == keep else keep), schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import components, written
+from .shared import components, small_batches, written
 
 SHINGLE, BANDS, ROWS, BLOCK = 5, 12, 3, 256
 RARE, TABLE = 256, 1 << 18
@@ -68,7 +68,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.unique(own)
                 docs, total, held = docs + 1, total + len(own), held + len(own)
                 waiting.append(own)
-                if held > 1 << 21:
+                if held > 1 << 20:
                     settle()
     settle()
     yield pa.RecordBatch.from_arrays([pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([docs] + [0] * len(keys), pa.int64()), pa.array([total] + [0] * len(keys), pa.int64())], names=["hash", "docs", "total"])
@@ -254,6 +254,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str
     Other columns play no part; an empty table gives an empty table.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).cast("string").alias("x"))
     weights = spark.sparkContext.broadcast(shingle_weights(rows.select("x"), strength))
     marks = written(rows.mapInArrow(_signatures(weights), "id long, text_hash long, k1 long, k2 long, bands array<long>"), "signatures")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import input_bytes, written
+from .shared import input_bytes, small_batches, written
 
 POSITION_BITS = 20
 _U = np.uint64
@@ -246,6 +246,7 @@ def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_
     """
     if levels < 1 or window % (1 << levels):
         raise ValueError("window must be a multiple of 2**levels, levels at least 1")
+    small_batches(documents.sparkSession)
     size = max(1, input_bytes(documents))
     bits = int(np.clip(np.ceil(np.log2(size / 6e6)), 4, 16))
     length = window >> levels
