@@ -4,7 +4,10 @@ A document's units are its lines, its paragraphs and the whole text, in lower-ca
 runs of ASCII letters and digits. Dice of multisets of a and b bigrams is at most
 2 min(a, b) / (a + b), so a template is a candidate only for units whose number of
 bigrams lies within fixed bounds of its own; the join is on that number, and units
-out of all bounds are dropped before. Only DataFrame functions are used.
+out of all bounds are dropped before. A unit that reaches the threshold also shares so
+many bigrams with a template that it cannot do without all of a few key words, which
+are chosen from the templates by rule: texts without any of them are left out first,
+which loses no match. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -46,6 +49,34 @@ def template_rows(templates: tuple[tuple[str, str], ...], threshold: float) -> l
     return rows
 
 
+def key_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    """Words of which a text must have one to match any template: of each template so many
+    bigrams hold one of them that without these too few are left for the threshold."""
+    bags, needed = [], []
+    for _, text in templates:
+        words = [w.lower() for w in re.findall(WORD, text)]
+        pairs = list(zip(words, words[1:]))
+        bags.append(pairs)
+        needed.append(len(pairs) - math.ceil(len(pairs) * threshold / (2 - threshold) - 1e-9) + 1)
+
+    def short(chosen: list[str]) -> list[int]:
+        return [n - sum(any(w in chosen for w in p) for p in pairs) for pairs, n in zip(bags, needed, strict=True)]
+
+    chosen: list[str] = []
+    while any(m > 0 for m in short(chosen)):
+        gain: dict[str, float] = {}
+        for pairs, m in zip(bags, short(chosen), strict=True):
+            left = [p for p in pairs if not any(w in chosen for w in p)]
+            for w in {x for p in left for x in p} if m > 0 else ():
+                gain[w] = gain.get(w, 0.0) + min(m, sum(w in p for p in left)) * len(w) ** 2
+        chosen.append(max(sorted(gain), key=lambda w: gain[w]))
+    for w in sorted(chosen, key=lambda w: (len(w), w)):  # short words, which are common, go if the others do
+        rest = [x for x in chosen if x != w]
+        if all(m <= 0 for m in short(rest)):
+            chosen = rest
+    return chosen
+
+
 def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per doc_id: license, score (Dice, six decimals) and n_units.
 
@@ -61,7 +92,8 @@ def scan_licenses(documents: DataFrame, templates: tuple[tuple[str, str], ...] =
     text = F.col("text").cast("string")
     counted = lambda x: F.regexp_count(x, F.lit(WORD)) - 1
     units = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, PARAGRAPH, -1), F.array(text)))
-    found = documents.select("doc_id", F.explode(F.filter(units, lambda x: counted(x).between(least, most))).alias("unit"))
+    keys = rf"(?i)(?:{'|'.join(key_words(templates, threshold))})(?![A-Za-z0-9])"
+    found = documents.where(text.rlike(keys)).select("doc_id", F.explode(F.filter(units, lambda x: counted(x).between(least, most))).alias("unit"))
     found = found.withColumn("words", F.regexp_extract_all("unit", F.lit(WORD), F.lit(0))).withColumn("n", F.size("words") - 1)
     found = found.withColumn("pairs", F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.lower(F.concat(F.element_at("words", i), F.lit(" "), F.element_at("words", i + 1)))))
     joined = found.join(table, "n")
