@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm
+from .text import let, norm
 
 MONTHS = "janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split()
 SHORT_MONTHS = "jan fev mar abr mai jun jul ago set out nov dez".split()
@@ -13,16 +13,19 @@ SHORT_MONTHS = "jan fev mar abr mai jun jul ago set out nov dez".split()
 
 def _checked(year: Column, month: Column, day: Column) -> Column:
     """A date of the years 1900 to 2200; null if there is none such."""
-    y, m, d = (x.try_cast("int") for x in (year, month, day))
-    made = F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
-    return F.when(y.between(1900, 2200) & m.between(1, 12) & d.between(1, 31), made)
+    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    made = let(F.try_to_date(text, "yyyy-MM-dd"), lambda d: F.when(F.year(d).between(1900, 2200), d))
+    return F.when(F.length(year) <= 4, made)
 
 
 def parse_date(c: Column, as_of: Column) -> Column:
     """A date as people write it: hoje, amanhã, ontem; 2026-09-30 anywhere; 30/09/2026 with
     / . or -, two-digit years meaning 20xx; 30 de setembro [de 2026]; 30/09 in the year of
     ``as_of``. The first form that matches decides; null if it names no date."""
-    t = norm(c)
+    return let(norm(c), lambda t: _read(t, as_of))
+
+
+def _read(t: Column, as_of: Column) -> Column:
     part = lambda form, k: F.regexp_extract(t, form, k)
     iso, full = r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", r"\b(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{2,4})\b"
     named, short = rf"\b(\d{{1,2}})\s*(?:de\s+)?({'|'.join(MONTHS)})(?:\s*(?:de\s+)?(\d{{4}}))?", r"\b(\d{1,2})[/.\-](\d{1,2})\b"

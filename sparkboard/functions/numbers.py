@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _FORM = r"(?i)^(-?[\d.,]+)(mil|mi|milh(?:oes|ões|ao|ão)|bi|bilh(?:oes|ões|ao|ão)|k|m)?$"
 
 
@@ -13,19 +15,22 @@ def parse_number(c: Column) -> Column:
     either style, and the words mil, mi, bi. Null if it is none. One separator with three
     digits behind it is a thousands separator, but for a leading ``0.``."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c.cast("string")), r"(?i)^R\$\s*", ""), r"\s", ""), "%$", "")
-    digits, word = F.regexp_extract(bare, _FORM, 1), F.lower(F.regexp_extract(bare, _FORM, 2))
+    # only what reads as digits with one point is cast: try_cast would take 1e3 and NaN too
+    value = lambda x: let(F.regexp_extract(x, _FORM, 1), lambda digits: let(_plain(digits), lambda plain: F.when(plain.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))))
+    times = lambda x: let(F.lower(F.regexp_extract(x, _FORM, 2)), lambda word: F.when(word.isin("mil", "k"), 1e3).when(word.startswith("mi") | (word == "m"), 1e6).when(word.startswith("bi"), 1e9).otherwise(1.0))
+    return let(bare, lambda x: value(x) * times(x))
+
+
+def _plain(digits: Column) -> Column:
+    """Digits and separators as a plain decimal."""
     dots, commas = F.regexp_count(digits, F.lit(r"\.")), F.regexp_count(digits, F.lit(","))
     without = lambda sign: F.replace(digits, F.lit(sign), F.lit(""))
-    plain = (
+    return (
         F.when((dots > 0) & (commas > 0), F.when(F.instr(F.reverse(digits), ",") < F.instr(F.reverse(digits), "."), F.replace(without("."), F.lit(","), F.lit("."))).otherwise(without(",")))
         .when(commas > 0, F.when((commas > 1) | digits.rlike(r",\d{3}$"), without(",")).otherwise(F.replace(digits, F.lit(","), F.lit("."))))
         .when(dots > 0, F.when((dots > 1) | (digits.rlike(r"\.\d{3}$") & ~digits.rlike(r"^-?0\.")), without(".")).otherwise(digits))
         .otherwise(digits)
     )
-    # only what reads as digits with one point is cast: try_cast would take 1e3 and NaN too
-    value = F.when(plain.rlike(r"^-?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
-    times = F.when(word.isin("mil", "k"), 1e3).when(word.startswith("mi") | (word == "m"), 1e6).when(word.startswith("bi"), 1e9).otherwise(1.0)
-    return value * times
 
 
 def number(c: Column, kind: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ STOPWORDS = frozenset(
 )
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; null stays null."""
     return F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[̀-ͯ]", "")
