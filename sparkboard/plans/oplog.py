@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import json
 from typing import Any
 
@@ -87,7 +88,7 @@ def replay(ops: list[dict[str, Any]]) -> Board:
     """The board that a log makes of an empty one."""
     board = Board()
     for op in ops:
-        apply_op(board, op)
+        apply_op(board, copy.deepcopy(op))
     return board
 
 
