@@ -275,7 +275,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str
 
     groups = components(links)
     named = heads.join(groups, heads["head"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "head").alias("class_id"))
-    out = marks.join(named, ["k1", "k2"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    out = marks.join(named, ["k1", "k2"], "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
     return out.select(F.col("id").alias(id_column), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 

@@ -29,6 +29,7 @@ from . import wordhash as wh
 from .shared import input_bytes, small_batches, written
 
 POSITION_BITS = 20
+PIECE = 1 << POSITION_BITS  # words of a text that are hashed as one
 _U = np.uint64
 _BLOBS = "key long, chunk long, kind int, blob binary"
 HASHES, INDEX, KNOWN, REMOVED = 0, 1, 2, 3
@@ -81,7 +82,7 @@ def _by_position(packed: np.ndarray) -> np.ndarray:
 
 
 def _first_level(length: int, window: int, bits: int):
-    room = (1 << POSITION_BITS) - window
+    room = PIECE - window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, numbers, chunk = TaskContext.get().partitionId(), itertools.count(), _Chunk()
