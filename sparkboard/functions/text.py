@@ -93,8 +93,7 @@ def words(c: Column) -> Column:
 
 def content_words(c: Column) -> Column:
     """Words without stop-words and single characters; norm ids in one word."""
-    stop = F.array(*[F.lit(x) for x in sorted(STOPWORDS)])
-    kept = F.filter(words(c), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1))
+    kept = F.filter(words(c), lambda w: ~w.isin(*sorted(STOPWORDS)) & (F.length(w) > 1))
     return F.transform(kept, lambda w: F.when(w.rlike(r"^nr-?\d+$"), F.replace(w, F.lit("-"), F.lit(""))).otherwise(w))
 
 
@@ -112,8 +111,8 @@ def stem(w: Column) -> Column:
         value = F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(to))
         plural = F.when(case, value) if plural is None else plural.when(case, value)
     single = plural.when(w.rlike("[^s]s$") & (F.length(w) > 3), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    first = F.coalesce(*[F.when(single.endswith(s) & (F.length(single) >= len(s) + 3), F.substring(single, F.lit(1), F.length(single) - len(s))) for s in SUFFIXES], single)
-    return F.when((F.length(w) <= 3) | w.rlike(r"\d"), w).otherwise(first)
+    cut = lambda x: F.coalesce(*[F.when(x.endswith(s) & (F.length(x) >= len(s) + 3), F.substring(x, F.lit(1), F.length(x) - len(s))) for s in SUFFIXES], x)
+    return F.when((F.length(w) <= 3) | w.rlike(r"\d"), w).otherwise(let(single, cut))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -80,14 +80,15 @@ class DocType:
 
 def doc_type_scores(docs: DataFrame, doc: str, text: str, types: Sequence[DocType]) -> DataFrame:
     """(doc, type, score): four points at most for each keyword's occurrences, twelve for a
-    strong phrase in the first 1500 characters, five for one elsewhere."""
+    strong phrase in the first 1500 characters, five for one elsewhere. Word borders are
+    those of ASCII words."""
     t = F.concat(F.lit(" "), norm(F.col(text)), F.lit(" "))
     head = norm(F.substring(text, 1, 1500))
     scores = []
     for kind in types:
         s = F.lit(0)
         for k in kind.keywords:
-            s = s + F.least(F.lit(4), F.regexp_count("t", F.lit(rf"\b{re.escape(k)}\b")))
+            s = s + F.least(F.lit(4), F.regexp_count("t", F.lit(rf"(?<![A-Za-z0-9_]){re.escape(k)}(?![A-Za-z0-9_])")))
         for k in kind.strong:
             s = s + F.when(F.contains(F.col("head"), F.lit(k)), 12).when(F.contains(F.col("t"), F.lit(k)), 5).otherwise(0)
         scores.append(F.struct(F.lit(kind.name).alias("type"), s.cast("int").alias("score")))

@@ -162,8 +162,8 @@ query("counters_by_type", "events", "SELECT event_type, count(*) AS n FROM event
 
 # ---- retrieval ---------------------------------------------------------------------------
 
-query("tf", "benchmark", f"SELECT item_id AS doc, token, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark) GROUP BY 1, 2")(lambda t: retrieval.build_index(t, "item_id", "text", text.words).postings.select("doc", "token", "tf"))
-query("df", "documents", f"SELECT token, count(DISTINCT doc_id) AS df FROM ({_DOC_WORDS}) GROUP BY 1")(lambda t: retrieval.build_index(t, "doc_id", "text", text.words).vocabulary)
+query("tf", "benchmark", f"SELECT item_id AS doc, token, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark) GROUP BY 1, 2")(lambda t: retrieval.build_index(t, "item_id", "text", stems=False).postings.select("doc", "token", "tf"))
+query("df", "documents", f"SELECT token, count(DISTINCT doc_id) AS df FROM ({_DOC_WORDS}) GROUP BY 1")(lambda t: retrieval.build_index(t, "doc_id", "text", stems=False).vocabulary)
 _BM25 = f"""WITH t AS (SELECT doc_id, token FROM ({_DOC_WORDS})), p AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT d.doc_id, greatest(count(t.token), 1) AS len FROM documents d LEFT JOIN t USING (doc_id) GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS m FROM l), v AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
 q AS (SELECT DISTINCT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark WHERE item_id < 10), k AS (SELECT q.* FROM q JOIN v USING (token)), c AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
 s AS (SELECT k.item_id AS query, p.doc_id AS doc, sum(ln(1 + (g.n - v.df + 0.5) / (v.df + 0.5)) * p.tf * 2.4 / (p.tf + 1.4 * (0.28 + 0.72 * l.len / g.m))) AS score, count(*) AS hit FROM k JOIN p USING (token) JOIN v USING (token) JOIN l ON l.doc_id = p.doc_id, g GROUP BY 1, 2)
@@ -171,9 +171,9 @@ SELECT query, doc, round(score, 6) AS score, round(hit / c.n, 6) AS coverage FRO
 
 
 def _bm25(d: DataFrame, b: DataFrame) -> DataFrame:
-    found = retrieval.bm25(retrieval.build_index(d, "doc_id", "text", text.words), b.where("item_id < 10"), "item_id", "text", k=None, fuzzy=False, tokens=text.words)
+    found = retrieval.bm25(retrieval.build_index(d, "doc_id", "text", stems=False), b.where("item_id < 10"), "item_id", "text", k=None, fuzzy=False, stems=False)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
-    size = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")).join(retrieval.build_index(d, "doc_id", "text", text.words).vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
+    size = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")).join(retrieval.build_index(d, "doc_id", "text", stems=False).vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
     full = b.select(F.col("item_id").alias("query"), F.size(F.array_distinct(text.words(F.col("text")))).alias("all"))
     return found.withColumn("r", rank).where("r <= 5").join(size, "query").join(full, "query").select("query", "doc", F.round("score", 6).alias("score"), F.round(F.col("coverage") * F.col("all") / F.col("known"), 6).alias("coverage"))
 
