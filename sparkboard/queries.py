@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, entities, numbers, risk, text
 from .functions.formula import compile_formula
-from .operators import classify, lookup, retrieval
+from .operators import classify, lookup, reports, retrieval
 from .plans import resolve
 from .plans.oplog import live_rows, undone
 from .plans.profile import auto_board, profile
@@ -221,6 +221,20 @@ query("risk_matrix", "part", "SELECT p_partkey, CASE WHEN p * s >= 20 THEN 'Crí
 query("hazard_topk", "part", "SELECT p_brand, p_partkey, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY (p_size % 5 + 1) * (p_size // 5 % 5 + 1) DESC, p_partkey) AS r FROM part) WHERE r <= 3")(lambda t: lookup.top_per_group(t, ["p_brand"], [((F.col("p_size") % 5 + 1) * (F.floor(F.col("p_size") / 5) % 5 + 1)).desc(), F.asc("p_partkey")], 3).select("p_brand", "p_partkey", "rank"))
 query("noise_minutes", "part", "SELECT p_partkey, CASE WHEN l < 85 THEN NULL WHEN l = 97 THEN floor(480 / pow(2, (97 - 85) / 5) + 0.5) ELSE 480 END::DOUBLE AS m FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 80 WHEN 1 THEN 85 ELSE 97 END AS l FROM part)")(lambda t: t.select("p_partkey", risk.noise_minutes(F.when(F.col("p_size") % 3 == 0, 80.0).when(F.col("p_size") % 3 == 1, 85.0).otherwise(97.0)).alias("m")))
 
+
+
+def _hazards(t: DataFrame) -> DataFrame:
+    """Hazards made of parts: brand as activity, type as stage, name as hazard."""
+    return t.select(F.col("p_brand").alias("activity"), F.col("p_type").alias("stage"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("hazard"), (F.col("p_size") % 5 + 1).alias("p"), (F.floor(F.col("p_size") / 5) % 5 + 1).alias("s"), F.split("p_name", " ").alias("controls"))
+
+
+_HAZARDS = "(SELECT p_brand AS activity, p_type AS stage, p_name || ' ' || p_partkey AS hazard, p_size % 5 + 1 AS p, p_size // 5 % 5 + 1 AS s FROM part)"
+query("report_analysis", "part", f"SELECT hazard, (p * s)::INT AS score, (greatest(1, p - CASE WHEN s >= 5 THEN 2 ELSE 1 END) * s)::INT AS residual FROM {_HAZARDS} WHERE p * s >= 10")(lambda t: reports.risk_analysis(_hazards(t), short=True).select("hazard", F.col("score").cast("int").alias("score"), F.col("residual").cast("int").alias("residual")))
+query("report_permit", "part", f"SELECT activity, hazard, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 8) WHERE r <= 8")(lambda t: reports.top_hazards(_hazards(t), 8, 8).select("activity", "hazard", "rank"))
+query("report_plan", "part", f"SELECT activity, hazard, r::INT AS rank, CASE WHEN p * s >= 20 THEN 1 ELSE 7 END AS days FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 10) WHERE r <= 10")(lambda t: reports.action_plan(_hazards(t)).select("activity", "hazard", "rank", "days"))
+query("report_procedure", "part")(lambda t: reports.procedure(_hazards(t)))
+query("report_inventory", "part")(lambda t: reports.inventory(t.select(F.col("p_brand").alias("activity")).limit(10), _hazards(t)))
+
 # ---- web pages ---------------------------------------------------------------------------
 
 query("html_main", "pages")(lambda t: web.main_content(t, "page_id", "html"))
