@@ -33,6 +33,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 THRESHOLD = 0.8
+#: English words that almost every text has: the last to serve as key words.
+COMMON = frozenset("a an and as at be by for from in is it not of on or that the this to under with you".split())
 WORD = "[A-Za-z0-9]+"
 PARAGRAPH = "\n[ \t\r]*\n"
 
@@ -68,9 +70,9 @@ def key_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[
         for pairs, m in zip(bags, short(chosen), strict=True):
             left = [p for p in pairs if not any(w in chosen for w in p)]
             for w in {x for p in left for x in p} if m > 0 else ():
-                gain[w] = gain.get(w, 0.0) + min(m, sum(w in p for p in left)) * len(w) ** 2
+                gain[w] = gain.get(w, 0.0) + min(m, sum(w in p for p in left)) * (0.01 if w in COMMON else len(w) ** 2)
         chosen.append(max(sorted(gain), key=lambda w: gain[w]))
-    for w in sorted(chosen, key=lambda w: (len(w), w)):  # short words, which are common, go if the others do
+    for w in sorted(chosen, key=lambda w: (w not in COMMON, len(w), w)):  # common and short words go if the others do
         rest = [x for x in chosen if x != w]
         if all(m <= 0 for m in short(rest)):
             chosen = rest
