@@ -1,5 +1,6 @@
 """Every named query runs on the smallest tables; those with SQL agree with it there."""
 
+import decimal
 import math
 import os
 
@@ -25,6 +26,8 @@ def duck():
 
 
 def plain(x):
+    if isinstance(x, decimal.Decimal):
+        x = float(x)
     if isinstance(x, float):
         return None if math.isnan(x) else float(f"{x:.9g}")
     if isinstance(x, list):
