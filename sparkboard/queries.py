@@ -171,7 +171,7 @@ SELECT query, doc, round(score, 6) AS score, round(hit / c.n, 6) AS coverage FRO
 
 
 def _bm25(d: DataFrame, b: DataFrame) -> DataFrame:
-    found = retrieval.bm25(retrieval.build_index(d, "doc_id", "text", stems=False), b.where("item_id < 10"), "item_id", "text", k=None, fuzzy=False, stems=False)
+    found = retrieval.bm25(retrieval.build_index(d, "doc_id", "text", stems=False), b, "item_id", "text", k=None, fuzzy=False, stems=False)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
     size = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")).join(retrieval.build_index(d, "doc_id", "text", stems=False).vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
     full = b.select(F.col("item_id").alias("query"), F.size(F.array_distinct(text.words(F.col("text")))).alias("all"))
