@@ -5,8 +5,9 @@ has outside links; lines in elements that hold no article (menus, forms, adverts
 so on), and lines outside the article element where a page has one, have length 0.
 Lengths are summed over sliding windows of ``WINDOW`` lines: where the sum rises over
 a threshold the text surges, where it is back at 0 it dives, and the lines between
-are kept. A page with an article element needs any text for a surge; one without
-needs ``SURGE`` characters, and keeps stretches of at least ``SHARE`` of the longest.
+are kept. Any text is a surge, so only lines of length 0 stay out. Several article
+elements are joined in page order; those named as junk (comments, related pages)
+count only on a page that has no other.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-WINDOW, SURGE, SHARE = 3, 60, 0.25
+WINDOW = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style|itemprop)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -52,12 +53,12 @@ def _named(attributes: str) -> tuple[set[str], bool]:
 def lines(page: str) -> list[tuple[str, int, int]]:
     """(text, length outside links, article) of each block that is not junk.
 
-    article is the number of the article element around it, -1 for a main element, -2 for none.
+    article is 1 in an article element, 0 in one with a name of junk, -1 in a main element, -2 for none.
     """
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, int, bool]] = [("", False, -2, False)]  # element, junk, article, link
     text: list[str] = []
-    free = articles = 0
+    free = 0
 
     def flush(article: int) -> None:
         nonlocal free
@@ -114,11 +115,12 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if not junk:
             words, junk = _named(m[4]) if m[4] else (set(), False)
             inside = article >= 0
-            junk = junk or name in JUNK_ELEMENTS or bool(words & JUNK_NAMES and name not in ("html", "body", "main", "article") and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "ad", "ads", "related", "sidebar"}))
+            named = bool(words & JUNK_NAMES and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "ad", "ads", "related", "sidebar"}))
+            junk = junk or name in JUNK_ELEMENTS or named and name not in ("html", "body", "main", "article")
             if not inside and (name == "header" or "header" in words and not words & ARTICLE_NAMES):
                 junk = True
             if not junk and (name == "article" or {"article", "body"} <= words) and not inside:
-                article, articles = articles, articles + 1
+                article = 0 if named else 1
             elif not junk and article == -2 and (name == "main" or "main" in words and name != "body"):
                 article = -1
         if junk != stack[-1][1] or article != stack[-1][2]:
@@ -136,30 +138,19 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """The article's text, its blocks joined by spaces; empty if there is none."""
     found = lines(page or "")
-    mass: dict[int, int] = {}
-    for _, length, article in found:
-        mass[article] = mass.get(article, 0) + length
-    inside = max((a for a in mass if a >= 0), key=lambda a: (mass[a], -a), default=-1 if -1 in mass else -2)
+    inside = max((article for _, _, article in found), default=-2)
     lengths = [(max(n, 1) if inside >= -1 else n) if article == inside else 0 for _, n, article in found]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    least = 1 if inside >= -1 else SURGE
-    stretches: list[tuple[int, int]] = []
+    kept: list[int] = []
     i = 0
     while i < len(sums):
-        if sums[i] < least:
+        if not sums[i]:
             i += 1
             continue
-        surge = i  # the first window over the threshold; its leading empty lines are no text
+        surge = i  # the first window with text; its leading empty lines are no text
         while i < len(sums) and sums[i] > 0:
             i += 1
-        dive = i
-        while surge < dive and not lengths[surge]:
-            surge += 1
-        stretches.append((surge, dive))
-    weight = [sum(lengths[a:b]) for a, b in stretches]
-    kept = [k for (a, b), w in zip(stretches, weight, strict=True) if inside >= -1 or w >= SHARE * max(weight) for k in range(a, b) if found[k][2] == inside and (inside >= -1 or lengths[k])]
-    if not stretches and inside == -2:  # too little text for a surge: all that is no link
-        kept = [k for k, n in enumerate(lengths) if n]
+        kept += [k for k in range(surge, i) if lengths[k]]
     return " ".join(found[k][0] for k in kept)
 
 

@@ -3,6 +3,7 @@
 import collections
 import math
 
+from sparkboard.llm import html_text
 from sparkboard.queries import QUERIES
 
 
@@ -26,3 +27,19 @@ def test_bm25_top_ranks_every_item(spark, tmp_path):
         want |= {(i, d, score, share) for _, d, score, share in sorted(found)[:5]}
     assert max(i for i, *_ in want) == 24
     assert {tuple(r) for r in QUERIES["bm25_top"](spark, str(tmp_path)).collect()} == want
+
+
+def test_html_keeps_short_sections_after_link_lists():
+    body = "".join(f"<p>{'Words of an article. ' * 10}{k}</p>" for k in range(20))
+    links = "".join(f"<p><a href=/{k}>See also {k}</a></p>" for k in range(4))
+    page = f"<body><div>{body}</div>{links}<p>{'A closing section. ' * 16}</p>{links}<p>The end.</p>"
+    got = html_text.main_text(page)
+    assert got.count("Words of an article.") == 200 and got.count("A closing section.") == 16 and got.endswith(" The end.") and "See also" not in got
+
+
+def test_html_joins_article_blocks():
+    for tag, end in (("<article>", "</article>"), ('<div class="article-body">', "</div>")):
+        blocks = [f"{tag}<p>{'word ' * n}part{n}</p>{end}" for n in (5, 90, 3)]
+        assert html_text.main_text(f'<body>{blocks[0]}<div class="ad">Buy</div><p>Between</p>{blocks[1]}<aside>{tag}No{end}</aside>{blocks[2]}').split() == [x for n in (5, 90, 3) for x in ["word"] * n + [f"part{n}"]]
+    assert html_text.main_text('<body><article>Text</article><article class="comment">Nice</article>') == "Text"
+    assert html_text.main_text('<body><article class="comment">Nice</article>') == "Nice"
