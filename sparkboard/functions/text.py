@@ -140,9 +140,10 @@ def edit_distance(a: Column, b: Column, most: int = 2) -> Column:
     return F.when(d < 0, F.lit(most + 1)).otherwise(d)
 
 
-def text_quality(c: Column, head: int = 6000) -> Column:
-    """Share of ordinary characters in the first ``head`` ones; 0 for an empty text."""
-    part = F.substring(F.coalesce(c, F.lit("")), 1, head)
+def text_quality(c: Column, head: int | None = None) -> Column:
+    """Share of ordinary characters, in the first ``head`` ones where that is given; 0 for an empty text."""
+    whole = F.coalesce(c, F.lit(""))
+    part = whole if head is None else F.substring(whole, 1, head)
     normal = F.regexp_count(part, F.lit(r"[A-Za-zÀ-ÿ0-9\s.,;:!?()\-/%]"))
     return F.when(F.length(part) == 0, F.lit(0.0)).otherwise(normal / F.length(part))
 

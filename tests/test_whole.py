@@ -43,3 +43,10 @@ def test_html_joins_article_blocks():
         assert html_text.main_text(f'<body>{blocks[0]}<div class="ad">Buy</div><p>Between</p>{blocks[1]}<aside>{tag}No{end}</aside>{blocks[2]}').split() == [x for n in (5, 90, 3) for x in ["word"] * n + [f"part{n}"]]
     assert html_text.main_text('<body><article>Text</article><article class="comment">Nice</article>') == "Text"
     assert html_text.main_text('<body><article class="comment">Nice</article>') == "Nice"
+
+
+def test_text_quality_judges_whole_texts(spark, tmp_path):
+    texts = {1: "a" * 6000 + "#" * 6000, 2: "#" * 3000 + "a" * 9000, 3: "", 4: None, 5: "a#"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.q for r in QUERIES["text_quality"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: 0.75, 3: 0.0, 4: 0.0, 5: 0.5}
