@@ -205,7 +205,7 @@ query("lenient_dates", "orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) A
 query("recency_bucket", "orders", "SELECT b, count(*) AS n FROM (SELECT CASE WHEN d <= 0 THEN 'Hoje' WHEN d = 1 THEN 'Ontem' WHEN d <= 7 THEN 'Últimos 7 dias' ELSE 'Mais antigas' END AS b FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') AS d FROM orders)) GROUP BY 1")(lambda t: t.select(dates.recency(F.col("o_orderdate"), day(AS_OF)).alias("b")).groupBy("b").agg(F.count("*").alias("n")))
 query("entities_emails", "documents", r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+'))) AS found FROM documents WHERE contains(text, '@')")(lambda t: t.where(F.contains("text", F.lit("@"))).select("doc_id", F.array_sort(entities.entities(F.col("text"), "emails")).alias("found")))
 query("entities_numbers", "documents", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{1,3}(?:[.,][0-9]+)? ?%'))) AS n FROM documents")(lambda t: t.select("doc_id", F.size(entities.found(F.col("text"), r"[0-9]{1,3}(?:[.,][0-9]+)? ?%")).cast("long").alias("n")))
-query("entities_all", "documents")(lambda t: t.select("doc_id", *[entities.entities(F.col("text"), k, 12).alias(k) for k in entities.PATTERNS], entities.norm_ids(F.col("text")).alias("norms"), entities.certificate_ids(F.col("text")).alias("certificates")))
+query("entities_all", "documents")(lambda t: t.select("doc_id", *[entities.entities(F.col("text"), k).alias(k) for k in entities.PATTERNS], entities.norm_ids(F.col("text")).alias("norms"), entities.certificate_ids(F.col("text")).alias("certificates")))
 query("text_quality", "documents", r"SELECT doc_id, round(len(regexp_extract_all(substr(text, 1, 6000), '[A-Za-zÀ-ÿ0-9\s.,;:!?()\-/%]')) / greatest(len(substr(text, 1, 6000)), 1), 6) AS q FROM documents")(lambda t: t.select("doc_id", F.round(text.text_quality(F.col("text")), 6).alias("q")))
 
 # ---- classification and risk -------------------------------------------------------------

@@ -3,6 +3,9 @@
 import collections
 import math
 
+from pyspark.sql import functions as F
+
+from sparkboard.functions import entities
 from sparkboard.llm import html_text
 from sparkboard.queries import QUERIES
 
@@ -50,3 +53,15 @@ def test_text_quality_judges_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.q for r in QUERIES["text_quality"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.5, 2: 0.75, 3: 0.0, 4: 0.0, 5: 0.5}
+
+
+def test_entities_all_has_no_cap(spark, tmp_path):
+    mails = [f"m{k}@example.org" for k in range(40)]
+    phones = [f"(11) 9{1000 + k}-{2000 + k}" for k in range(30)]
+    short = [f"{3000 + k}-{4000 + k}" for k in range(20)]
+    text = " ; ".join([*short, *phones, *mails])
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["entities_all"](spark, str(tmp_path)).collect()}
+    assert got[1].emails == mails and len(got[1].phones) == 30 and got[2].emails == [] == got[2].phones
+    capped = spark.range(1).select(entities.entities(F.lit(text), "phones", 12).alias("v")).first().v
+    assert capped == got[1].phones[:12]
