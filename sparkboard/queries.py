@@ -233,7 +233,8 @@ query("report_analysis", "part", f"SELECT hazard, (p * s)::INT AS score, (greate
 query("report_permit", "part", f"SELECT activity, hazard, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 8) WHERE r <= 8")(lambda t: reports.top_hazards(_hazards(t), 8, 8).select("activity", "hazard", "rank"))
 query("report_plan", "part", f"SELECT activity, hazard, r::INT AS rank, CASE WHEN p * s >= 20 THEN 1 ELSE 7 END AS days FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 10) WHERE r <= 10")(lambda t: reports.action_plan(_hazards(t)).select("activity", "hazard", "rank", "days"))
 query("report_procedure", "part")(lambda t: reports.procedure(_hazards(t)))
-query("report_inventory", "part")(lambda t: reports.inventory(t.select(F.col("p_brand").alias("activity")).limit(10), _hazards(t)))
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches({_NORM.format(c='h.hazard')}, '{r.pattern}') THEN '{r.result}'" for r in reports.HAZARD_CLASSES) + " ELSE 'acidente' END"
+query("report_inventory", "part", f"SELECT h.activity, h.hazard, {_KIND} AS kind, CASE WHEN p * s >= 20 THEN 'Crítico' WHEN p * s >= 10 THEN 'Alto' WHEN p * s >= 5 THEN 'Moderado' ELSE 'Baixo' END AS level FROM {_HAZARDS} h JOIN (SELECT DISTINCT p_brand AS activity FROM part) a ON a.activity = h.activity")(lambda t: reports.inventory(t.select(F.col("p_brand").alias("activity")).distinct(), _hazards(t)))
 
 # ---- web pages ---------------------------------------------------------------------------
 

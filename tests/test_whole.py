@@ -65,3 +65,10 @@ def test_entities_all_has_no_cap(spark, tmp_path):
     assert got[1].emails == mails and len(got[1].phones) == 30 and got[2].emails == [] == got[2].phones
     capped = spark.range(1).select(entities.entities(F.lit(text), "phones", 12).alias("v")).first().v
     assert capped == got[1].phones[:12]
+
+
+def test_report_inventory_covers_every_activity(spark, tmp_path):
+    rows = [(k, f"part {k}", f"Brand#{k % 37}", "SMALL", k % 50) for k in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["report_inventory"](spark, str(tmp_path)).collect()
+    assert sorted((r.activity, r.hazard) for r in got) == sorted((b, f"{n} {k}") for k, n, b, _, _ in rows)
