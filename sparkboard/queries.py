@@ -97,7 +97,7 @@ query("calc_formula", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_exte
 )
 query("calc_precedence", "part", "SELECT p_partkey, CAST(pow(-CAST(p_size AS DOUBLE), 2) AS DOUBLE) AS squared, CAST(p_size % 7 AS DOUBLE) AS rest FROM part")(lambda t: t.select("p_partkey", compile_formula("-s ^ 2", {"s": F.col("p_size")}).alias("squared"), compile_formula("s % 7", {"s": F.col("p_size")}).alias("rest")))
 query("table_search", "customer", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR contains(CAST(c_custkey AS VARCHAR), '00012') OR contains(lower(c_mktsegment), '00012') OR contains(CAST(c_nationkey AS VARCHAR), '00012')")(lambda t: resolve.search(t.drop("c_acctbal"), "00012").select("c_custkey"))
-query("table_sort", "part", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name, p_partkey LIMIT 50")(lambda t: t.orderBy(*resolve.sort_keys(t, "p_name", day(AS_OF)), "p_partkey").limit(50).select("p_partkey", "p_name"))
+query("table_sort", "part", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name, p_partkey LIMIT 50")(lambda t: t.orderBy(*resolve.sort_keys(t, "p_name", day(AS_OF)), "p_partkey").select("p_partkey", "p_name"))
 query("table_page", "customer", "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 200 OFFSET 100")(lambda t: resolve.page(t, [F.desc("c_acctbal"), F.asc("c_custkey")], 1).select("c_custkey", two("c_acctbal").alias("c_acctbal")))
 query("timeline40", "events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 40")(lambda t: resolve.timeline(t, "ts", ["event_id"]).select("event_id", "event_type"))
 query("checklist_ratio", "orders", "SELECT count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total FROM orders")(lambda t: resolve.checklist(t, F.col("o_orderstatus") == "F"))

@@ -72,3 +72,10 @@ def test_report_inventory_covers_every_activity(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = QUERIES["report_inventory"](spark, str(tmp_path)).collect()
     assert sorted((r.activity, r.hazard) for r in got) == sorted((b, f"{n} {k}") for k, n, b, _, _ in rows)
+
+
+def test_table_sort_returns_every_row_in_order(spark, tmp_path):
+    rows = [(k, ("B", "a", "c", "A")[k % 4] + f"{k * 7 % 31:02}") for k in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = [tuple(r) for r in QUERIES["table_sort"](spark, str(tmp_path)).collect()]
+    assert got == sorted(rows, key=lambda r: (r[1].lower(), r[1], r[0]))
