@@ -3,8 +3,9 @@
 Features are hashed one- to three-character n-grams of the lower-cased whole text
 with all but letters as a space. Inverse document frequencies count all labelled
 training documents. The weights are fitted by follow-the-regularised-leader with
-elastic-net penalties on a bounded sample, ``PER_LANGUAGE`` texts of a language at
-most on average, and a temperature is then set on a part of it that was held back.
+elastic-net penalties on a bounded sample of every language, ``PER_LANGUAGE`` texts of
+one at most on average, fewer where there are many languages, and a temperature is
+then set on a part of it that was held back.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from .shared import small_batches
 
 FEATURES = 1 << 16
-PER_LANGUAGE, LANGUAGES = 400, 200  # the sample's bounds: texts of a language, languages (the commonest)
+PER_LANGUAGE, SAMPLE = 400, 80_000  # the sample's bounds: texts of a language, texts (one of each language at least)
 UNKNOWN = "und"
 _PIECE = 1 << 20  # characters of a text that are hashed at once
 
@@ -160,15 +161,22 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if not docs:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0)
     idf = np.log((1 + docs) / (1 + np.concatenate([parts[k] for k in range(16)]))) + 1
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = labelled.groupBy("lang").count().collect()
+    per_language = min(per_language, max(1, SAMPLE // len(known)))
     share = labelled.sparkSession.createDataFrame([(x.lang, min(1.0, per_language / x["count"])) for x in known], "lang string, share double")
     sample = labelled.join(F.broadcast(share), "lang").where("draw < share").select("text", "lang", "draw")
-    found = sorted(sample.mapInArrow(_vectors, "lang string, draw double, at binary, n binary").limit(2 * per_language * len(known)).collect(), key=lambda x: (x.draw, x.lang, x.at))
+    schema = "lang string, draw double, at binary, n binary"
+    found = sample.mapInArrow(_vectors, schema).limit(2 * per_language * len(known)).collect()
+    if missed := sorted({x.lang for x in known} - {x.lang for x in found}):  # one text of each language that the draw passed over
+        rest = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in missed], "lang string")), "lang").where(F.col("text").rlike(r"\p{L}"))
+        found += rest.groupBy("lang").agg(F.min(F.struct("draw", "text")).alias("x")).select("x.text", "lang", "x.draw").mapInArrow(_vectors, schema).collect()
+    found.sort(key=lambda x: (x.draw, x.lang, x.at))
     languages = sorted({x.lang for x in found})
     number = {x: k for k, x in enumerate(languages)}
     labels = np.array([number[x.lang] for x in found])
     rows = [(at, _tfidf(at, np.frombuffer(x.n, np.uint32), idf)) for x in found for at in [np.frombuffer(x.at, np.uint16).astype(np.int64)]]
     held = np.arange(len(rows)) % 6 == 5
+    held &= np.bincount(labels[~held], minlength=len(languages))[labels] > 0  # each language has a text to learn from
     weights = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], labels[~held], len(languages))
     heat = temperature(np.stack([x @ weights[at] for (at, x), h in zip(rows, held, strict=True) if h]), labels[held]) if held.any() else 1.0
     return Model(languages, idf, weights.astype(np.float64), heat)

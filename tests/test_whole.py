@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparkboard.functions import entities
-from sparkboard.llm import html_text
+from sparkboard.llm import html_text, language_id
 from sparkboard.queries import QUERIES
 
 
@@ -79,3 +79,13 @@ def test_table_sort_returns_every_row_in_order(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = [tuple(r) for r in QUERIES["table_sort"](spark, str(tmp_path)).collect()]
     assert got == sorted(rows, key=lambda r: (r[1].lower(), r[1], r[0]))
+
+
+def test_language_model_knows_every_language(spark):
+    names = [f"l{k:03}" for k in range(205)]
+    word = lambda k: "".join(chr(0x4E00 + 300 + 40 * k + j) for j in (0, 7, 3))  # noqa: E731 - letters of its own for each language
+    rows = [(f"{word(k)} {word(k)}", la, 0.5 + k / 1000) for k, la in enumerate(names)] * 2 + [("123", "none", 0.1)]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string, draw double"))
+    assert model.languages == names
+    few = language_id.train(spark.createDataFrame(rows[:6] * 4 + [("only one", "rare", 0.99)], "text string, lang string, draw double"), per_language=1)
+    assert few.languages == [*names[:6], "rare"] and few.predict("only one")[0] == "rare"
