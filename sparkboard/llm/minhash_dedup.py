@@ -213,6 +213,7 @@ def _linked(broadcast, threshold: float):
         weights: Weights = broadcast.value
         data, offsets = wh.buffers(table.column("x").combine_chunks())
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        hashes = table.column("text_hash").to_numpy()
         sets = []
         for _, own in _shingles(data, offsets):
             values, counts = np.unique(own, return_counts=True)
@@ -221,7 +222,7 @@ def _linked(broadcast, threshold: float):
         _, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
         weight = np.concatenate([w for _, w in sets])
         totals = np.add.reduceat(weight, first[:-1])
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((hashes, ids))
         group, dense, links = np.arange(len(ids)), np.zeros(number.max() + 1), []
         cross = len(np.unique(side)) > 1  # of two blocks, only texts of different blocks are compared here
         for a in order.tolist():
@@ -238,8 +239,10 @@ def _linked(broadcast, threshold: float):
             for b in np.flatnonzero(open_ & (common >= (threshold - 1e-12) * (totals + totals[a] - common))).tolist():
                 if group[a] != group[b]:
                     group[group == group[b]] = group[a]
-                    links.append((ids[a], ids[b]))
-        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(y) for _, y in links], pa.int64())})
+                    links.append((a, b))
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        node = lambda at: pa.StructArray.from_arrays([pa.array(ids[at], pa.int64()), pa.array(hashes[at], pa.int64())], ["id", "text_hash"])
+        return pa.table({"a": node(ends[:, 0]), "b": node(ends[:, 1])})
 
     return run
 
@@ -250,9 +253,16 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str
     Words are lower-cased runs of letters and digits; texts with the same words, or
     with a weighted Jaccard similarity of ``threshold`` or more, are linked, and a
     group holds all that links reach. A null, empty or wordless text is alone; so is
-    a row with a null id (class_id null, kept). Rows with one id share their group.
-    Other columns play no part; an empty table gives an empty table.
+    a row with a null id (class_id null, kept). Rows with one id share their group if
+    their texts are equal or linked. Other columns play no part; an empty table gives
+    an empty table.
     """
+    out = _classes(documents, threshold, id_column, text_column, strength)
+    return out.select(F.col("id").alias(id_column), F.col("class.id").alias("class_id"), F.coalesce(F.col("id") == F.col("class.id"), F.lit(True)).alias("kept"))
+
+
+def _classes(documents: DataFrame, threshold: float, id_column: str, text_column: str, strength: float) -> DataFrame:
+    """(id, text_hash, class) of each row: class is the smallest (id, text_hash) of its group, null for a null id."""
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).cast("string").alias("x"))
@@ -270,18 +280,20 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str
     other = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
     jobs = written(member.select("head", "text_hash", "key", "side", other.alias("other")).select("head", "text_hash", "side", F.struct("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("job")), "blocks")
     by_text = jobs.groupBy("head", "text_hash").agg(F.collect_list(F.struct("job", "side")).alias("jobs"))
-    texts = rows.withColumnRenamed("id", "head").join(by_text.hint("shuffle_hash"), ["head", "text_hash"]).select("head", "x", F.explode("jobs").alias("j")).select(F.col("head").alias("id"), "x", F.col("j.side").alias("side"), F.col("j.job.key").alias("key"), F.col("j.job.i").alias("i"), F.col("j.job.j").alias("k"))
-    links = texts.groupBy("key", "i", "k").applyInArrow(_linked(weights, threshold), "a long, b long")
+    texts = rows.withColumnRenamed("id", "head").join(by_text.hint("shuffle_hash"), ["head", "text_hash"]).select("head", "text_hash", "x", F.explode("jobs").alias("j")).select(F.col("head").alias("id"), "text_hash", "x", F.col("j.side").alias("side"), F.col("j.job.key").alias("key"), F.col("j.job.i").alias("i"), F.col("j.job.j").alias("k"))
+    links = texts.groupBy("key", "i", "k").applyInArrow(_linked(weights, threshold), "a struct<id:long,text_hash:long>, b struct<id:long,text_hash:long>")
 
     groups = components(links)
-    named = heads.join(groups, heads["head"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "head").alias("class_id"))
-    out = marks.join(named, ["k1", "k2"], "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-    return out.select(F.col("id").alias(id_column), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    nodes = heads.select("k1", "k2", F.struct(F.col("head").alias("id"), "text_hash").alias("own"))
+    named = nodes.join(groups, nodes["own"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "own").alias("class"))
+    own = F.struct("id", "text_hash")
+    return marks.join(named, ["k1", "k2"], "left").select("id", "text_hash", F.when(F.col("id").isNotNull(), F.coalesce("class", own)).alias("class"))
 
 
 def drop_near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``documents`` with one row of each group: that of the smallest id; of several
-    rows with this id, one. Rows with a null id stay."""
-    kept = near_duplicates(documents, threshold, id_column, text_column).where("kept").select(F.col(id_column).alias("_kept_id")).where("_kept_id is not null").distinct()
-    known = documents.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    return known.join(kept, known[id_column] == kept["_kept_id"], "left_semi").unionByName(documents.where(F.col(id_column).isNull()))
+    """``documents`` with one row of each group: that of the smallest id, and of several
+    texts with this id that of the smallest hash. Rows with a null id stay."""
+    classes = _classes(documents, threshold, id_column, text_column, IDF_STRENGTH).where("id is not null")
+    kept = classes.where((F.col("id") == F.col("class.id")) & (F.col("text_hash") == F.col("class.text_hash"))).select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    known = documents.where(F.col(id_column).isNotNull()).withColumn("_text_hash", F.xxhash64(text_column)).dropDuplicates([id_column, "_text_hash"])
+    return known.join(kept, (known[id_column] == kept["_kept_id"]) & (known["_text_hash"] == kept["_kept_hash"]), "left_semi").drop("_text_hash").unionByName(documents.where(F.col(id_column).isNull()))

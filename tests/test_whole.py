@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparkboard.functions import entities
-from sparkboard.llm import html_text, language_id
+from sparkboard.llm import html_text, language_id, minhash_dedup
 from sparkboard.queries import QUERIES
 
 
@@ -89,3 +89,15 @@ def test_language_model_knows_every_language(spark):
     assert model.languages == names
     few = language_id.train(spark.createDataFrame(rows[:6] * 4 + [("only one", "rare", 0.99)], "text string, lang string, draw double"), per_language=1)
     assert few.languages == [*names[:6], "rare"] and few.predict("only one")[0] == "rare"
+
+
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    words = lambda name, n=120: [f"{name}{k * k % 97}x{k}" for k in range(n)]
+    a, b, c = words("a"), words("b"), words("c")
+    near = lambda w: " ".join([*w[:-1], "last"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (3, near(c)), (5, " ".join(c)), (6, " ".join(a)), (7, " ".join(b)), (5, " ".join(a)), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == {(5, 5): 3, (5, 3): 1, (7, 5): 2, (9, 5): 1, (3, 3): 1, (6, 5): 1, (8, 8): 2}
+    kept = minhash_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(5, " ".join(a)), (5, " ".join(b)), (3, near(c)), (8, ""), (8, None)}
