@@ -1,9 +1,10 @@
 """Benchmark decontamination with an FM-index for each shard of the training texts.
 
 The windows of the benchmark items are the stated query set, broadcast in blocks
-of a checked size. A task turns the words of its texts into numbers of the
-benchmark's vocabulary. Runs of known words that are too short for any window can
-hold no match and are left out; all others become the shard's sequence. Backward
+of a checked size. A shard is ``SHARD_BYTES`` of consecutive texts. Its words become
+numbers of the benchmark's vocabulary; words that no item has cannot be part of a
+match and end a run, and runs too short for any window are left out. The others are
+the shard's sequence, over which one index is built. Backward
 search finds all windows at once, sampled suffix positions locate every occurrence,
 and overlapping occurrences merge into removal spans. A text lies in one shard
 whole, so nothing is shuffled.
@@ -11,21 +12,23 @@ whole, so nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import wordhash as wh
 from .fm_index import FMIndex
-from .shared import small_batches
+from .shared import free_name, small_batches
 
-BLOCK_BYTES = 8 << 20  # of benchmark text that is broadcast at once
+BLOCK_BYTES = 1 << 20  # of benchmark text that is searched, and in a worker's memory, at once
+SHARD_BYTES = 8 << 20  # of training text that one index covers; a longer text is a shard of its own
 SHARD_WORDS = 1 << 19
-_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
+_CUT = "struct<n_words:long,n_hit:long,rest:string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Phrases:
@@ -110,7 +113,7 @@ def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[last]
 
 
-def _one_batch(data: np.ndarray, offsets: np.ndarray, p: Phrases, spans: list | None, items: list | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+def _one_shard(data: np.ndarray, offsets: np.ndarray, p: Phrases, spans: list | None, items: list | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
     n = len(offsets) - 1
     n_words, parts, bounds = np.zeros(n, np.int64), [], [np.zeros(1, np.int64)]
     for i, j in wh.blocks(offsets):
@@ -129,12 +132,12 @@ def _one_batch(data: np.ndarray, offsets: np.ndarray, p: Phrases, spans: list |
         own = [p.items[length][k] for k in (pairs % len(p.phrases[length])).tolist()]
         if own:
             doc_items.append(np.stack([np.repeat(pairs // len(p.phrases[length]), [len(x) for x in own]), np.concatenate(own)]))
-    new_items: list[list[str]] = [list(x or ()) for x in items] if items else [[] for _ in range(n)]
+    new_items: list[list[str]] = items or [[] for _ in range(n)]
     if doc_items:
         for d, k in np.unique(np.concatenate(doc_items, axis=1), axis=1).T.tolist():
             new_items[d].append(p.ids[k])
     if spans:
-        old = np.array([(first[d] + x["start"], first[d] + x["end"]) for d, own in enumerate(spans) for x in own or ()], np.int64).reshape(-1, 2)
+        old = np.array([(first[d] + x, first[d] + y) for d, own in enumerate(spans) for x, y in own], np.int64).reshape(-1, 2)
         at.append(old[:, 0])
         to.append(old[:, 1])
     a, b = np.concatenate(at) if at else np.zeros(0, np.int64), np.concatenate(to) if to else np.zeros(0, np.int64)
@@ -148,87 +151,100 @@ def _one_batch(data: np.ndarray, offsets: np.ndarray, p: Phrases, spans: list |
     return n_words, merged, [sorted(set(x)) for x in new_items]
 
 
-def _pass(broadcast, schema: pa.Schema, text: str, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Phrases = broadcast.value
-        for batch in batches:
-            row = batch.column("row")
-            data, offsets = wh.buffers(row.field(text))
-            n_words, spans, items = _one_batch(data, offsets, p, batch.column("spans").to_pylist() if "spans" in batch.schema.names else None, batch.column("items").to_pylist() if "items" in batch.schema.names else None)
-            kept = row if not keep else pa.StructArray.from_arrays([row.field(c) for c in keep], keep)
-            columns = [kept, pa.array(n_words), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], schema.field("spans").type), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    return run
-
-
-def phrase_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """row (struct of the columns of ``documents``, or of ``keep``), n_words, spans
-    (merged word positions [start, end) inside any occurrence), items (sorted ids).
-
-    Words are lower-cased runs of ASCII letters, digits and characters beyond
-    ASCII. An item with fewer words than ``window`` is one window; one without
-    words, or null, has none. A null or empty text has no words. Repeated items
-    with one id count once; a null id is written as an empty string. Column names
-    of ``documents`` cannot clash with the new ones: they stay inside ``row``.
-    An empty benchmark leaves all spans empty.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = documents.sparkSession
-    small_batches(spark, 4000)
+def _shards(texts: Iterator[pa.Array]) -> Iterator[list[pa.Array]]:
+    """Consecutive batches of texts that hold about ``SHARD_BYTES``."""
+    held, size = [], 0
+    for column in texts:
+        held.append(column)
+        size += column.nbytes
+        if size >= SHARD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _cut(text: pa.Scalar, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words of ``spans``, from the first of each to its last."""
+    raw = np.frombuffer(text.as_buffer(), np.uint8)
+    _, starts, ends, _ = wh.words(raw, np.array([0, len(raw)]), "alnum")
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(raw[at : starts[a]].tobytes())
+        at = int(ends[b - 1])
+    return b"".join(kept) + raw[at:].tobytes()
+
+
+def _searched(benchmark: DataFrame, window: int, item_column: str, item_text: str, cut: bool) -> Callable[[Column], Column]:
+    """A function of a text column: struct(n_words, spans, items), with ``cut`` struct(n_words,
+    n_hit, rest), where rest is what stays of a text that is hit, else null."""
+    spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("binary"), F.lit(b"")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     parts = max(1, -(-int(size) // BLOCK_BYTES))
-    found = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    blocks = []
     for k in range(parts):  # blocks of the query set, each small enough to be broadcast
         block = items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()
-        phrases = spark.sparkContext.broadcast(Phrases([(x.i, bytes(x.t)) for x in block], window))
-        own = keep or [] if k == parts - 1 else []
-        row = T.StructType([f for f in documents.schema.fields if not own or f.name in own])
-        order = [f.name for f in row.fields] if own else []
-        schema = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("items", T.ArrayType(T.StringType()))])
-        found = found.mapInArrow(_pass(phrases, to_arrow_schema(schema), text_column, order), schema)
-    return found
-
-
-def _without(text_column: str, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            texts, spans = row.field(text_column).cast(pa.large_binary()), batch.column("spans")
-            out = []
-            for text, own in zip(texts, spans, strict=True):
-                if own.is_valid and len(own) and text.is_valid:
-                    raw = np.frombuffer(text.as_py(), np.uint8)
-                    _, starts, ends, _ = wh.words(raw, np.array([0, len(raw)]), "alnum")
-                    kept, at = [], 0
-                    for x in own.as_py():
-                        kept.append(raw[at : starts[x["start"]]].tobytes())
-                        at = int(ends[x["end"] - 1])
-                    out.append(b"".join(kept) + raw[at:].tobytes())
-                else:
-                    out.append(text.as_py())
-            columns = [pa.array(out, pa.binary()).cast(f.type) if f.name == text_column else row.field(f.name).cast(f.type) for f in schema]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
+        blocks.append(spark.sparkContext.broadcast(Phrases([(x.i, bytes(x.t)) for x in block], window)))
+
+    @F.arrow_udf(_CUT if cut else _FOUND)
+    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for shard in _shards(texts):
+            whole = pa.concat_arrays(shard).cast(pa.large_binary())
+            data, offsets = wh.buffers(whole)
+            n_words = spans = items = None
+            for b in blocks:  # one block at a time is in memory, whatever their number
+                n_words, spans, items = _one_shard(data, offsets, b.value if len(blocks) == 1 else b.load_from_path(b._path), spans, items)
+            if cut:
+                n_hit = [sum(b - a for a, b in own) for own in spans]
+                rest = [_cut(whole[k], own) if own else None for k, own in enumerate(spans)]
+                out = [pa.array(n_words), pa.array(n_hit, pa.int64()), pa.array(rest, pa.binary()).cast(pa.string())]
+                names = ["n_words", "n_hit", "rest"]
+            else:
+                out = [pa.array(n_words), pa.array([[{"start": a, "end": b} for a, b in own] for own in spans], _SPANS), pa.array(items, pa.list_(pa.string()))]
+                names = ["n_words", "spans", "items"]
+            found, at = pa.StructArray.from_arrays(out, names), 0
+            for column in shard:
+                yield found.slice(at, len(column))
+                at += len(column)
+
+    return lambda text: search(text.cast("string"))
+
+
+def phrase_hits(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """row (struct of the columns ``keep`` of ``documents``), n_words, spans (merged
+    word positions [start, end) inside any occurrence), items (sorted ids).
+
+    Words are lower-cased runs of ASCII letters, digits and characters beyond
+    ASCII. An item with fewer words than ``window`` is one window; one without
+    words, or null, has none. A null or empty text has no words; a text of any
+    length lies in one shard whole. Repeated items with one id count once; a null id
+    is written as an empty string. Repeated rows of ``documents`` come out as often.
+    Column names of ``documents`` cannot clash with the new ones: they stay inside
+    ``row``. An empty benchmark leaves all spans empty, an empty table gives an empty table.
+    """
+    search = _searched(benchmark, window, item_column, item_text, cut=False)
+    found = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), search(F.col(f"`{text_column}`")).alias("found"))
+    return found.select("row", "found.n_words", "found.spans", "found.items")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text") -> DataFrame:
     """``documents`` without the benchmark passages: each merged span, from its first
     word to its last, is cut out of the text; a text of which no word is left goes.
-    Texts without a hit stay as they are, and so do null texts."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    hits = phrase_hits(documents, benchmark, window, text_column)
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    left = hits.where((F.size("spans") == 0) | (gone < F.col("n_words")))
-    return left.mapInArrow(_without(text_column, to_arrow_schema(documents.schema)), documents.schema)
+    Texts without a hit stay as they are, null and empty ones too; so do all other
+    columns, whatever their names. Repeated rows stay repeated; an empty benchmark
+    changes nothing; an empty table gives an empty table."""
+    search = _searched(benchmark, window, "item_id", "text", cut=True)
+    own, c = [F.col(f"`{c}`") for c in documents.columns], free_name(documents, "found")
+    found = documents.select(*own, search(F.col(f"`{text_column}`")).alias(c)).where((F.col(c)["n_hit"] == 0) | (F.col(c)["n_hit"] < F.col(c)["n_words"]))
+    kind = dict(documents.dtypes)[text_column]
+    rest = F.when(F.col(c)["n_hit"] == 0, F.col(f"`{text_column}`")).otherwise(F.col(c)["rest"].cast(kind))
+    return found.select(*[rest.alias(x) if x == text_column else F.col(f"`{x}`") for x in documents.columns])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits = phrase_hits(documents.select("doc_id", "text"), benchmark, window, keep=["doc_id"])
+    hits = phrase_hits(documents, benchmark, ["doc_id"], window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return hits.select("row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, small_table, written
 
 CELL, BLOCK = 2048, 1024
 SAMPLE_ROWS, SAMPLE_BYTES, MOST_CELLS = 20_000, 64 << 20, 1024  # the fit's bounds
@@ -146,7 +146,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.93, id_column:
         every, dim = sum(x.n for x in large), max(x.dim for x in large)
         rows_wanted = max(256, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
         share = min(1.0, rows_wanted / every)
-        wanted = spark.createDataFrame([(x.grp, x.dim) for x in large], "grp string, dim int")
+        wanted = small_table(spark, [(x.grp, x.dim) for x in large], "grp string, dim int")
         drawn = points.join(F.broadcast(wanted), ["grp", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000)).select("grp", "dim", "rep", "vec").limit(2 * rows_wanted).collect()
         by: dict[tuple[str, int], list] = {}
         for x in sorted(drawn, key=lambda x: x.rep):

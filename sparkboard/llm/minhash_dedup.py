@@ -10,8 +10,8 @@ task), and the candidates are then counted over all texts.
 
 Improved consistent weighted sampling gives each text ``BANDS * ROWS`` samples,
 banded into keys. Texts with equal words are one class from the start. Classes that
-share a key are compared by exact weighted Jaccard similarity in blocks of ``BLOCK``
-texts; a block returns the links that join its groups, not its pairs.
+share a key are compared by exact weighted Jaccard similarity in blocks; a block
+returns the links that join its groups, not its pairs.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import components, small_batches, written
+from .shared import components, free_name, small_batches, written
 
-SHINGLE, BANDS, ROWS, BLOCK = 5, 12, 3, 256
+SHINGLE, BANDS, ROWS = 5, 12, 3
+BLOCK, BLOCK_BYTES = 256, 2 << 20
 RARE, TABLE = 256, 1 << 18
 IDF_STRENGTH = 0.25
 CANDIDATES = 1 << 21  # counted in one pass
@@ -203,17 +204,19 @@ def _signatures(broadcast):
                         held = 0
             settle()
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)), pa.array(bands[has].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(keys[:, c].view(np.int64), mask=~has) for c in (0, 1)), lists], names=["id", "text_hash", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), *(pa.array(keys[:, c].view(np.int64), mask=~has) for c in (0, 1)), lists], names=["id", "text_hash", "size", "k1", "k2", "bands"])
 
     return run
 
 
 def _linked(broadcast, threshold: float):
+    """Links that join the texts of a job: all its texts with each other or, where it has
+    two sides, those of side 0 with those of side 1. Texts that share ``known`` are joined already."""
+
     def run(table: pa.Table) -> pa.Table:
         weights: Weights = broadcast.value
         data, offsets = wh.buffers(table.column("x").combine_chunks())
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        hashes = table.column("text_hash").to_numpy()
+        ids, hashes, side = (table.column(c).to_numpy() for c in ("id", "text_hash", "side"))
         sets = []
         for _, own in _shingles(data, offsets):
             values, counts = np.unique(own, return_counts=True)
@@ -222,14 +225,18 @@ def _linked(broadcast, threshold: float):
         _, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
         weight = np.concatenate([w for _, w in sets])
         totals = np.add.reduceat(weight, first[:-1])
-        order = np.lexsort((hashes, ids))
         group, dense, links = np.arange(len(ids)), np.zeros(number.max() + 1), []
-        cross = len(np.unique(side)) > 1  # of two blocks, only texts of different blocks are compared here
-        for a in order.tolist():
-            open_ = group != group[a]
-            if cross:
-                open_ &= side != side[a]
-            open_ &= (np.minimum(totals, totals[a]) >= (threshold - 1e-9) * np.maximum(totals, totals[a]))
+        known = table.column("known").combine_chunks()
+        if known.null_count < len(known):
+            pairs = np.stack([known.field(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash")])
+            group = np.unique(pairs, axis=1, return_inverse=True)[1].ravel()
+        two = len(np.unique(side)) > 1
+        for a in np.lexsort((hashes, ids)).tolist():
+            if two and side[a]:
+                continue
+            open_ = (group != group[a]) & (np.minimum(totals, totals[a]) >= (threshold - 1e-9) * np.maximum(totals, totals[a]))
+            if two:
+                open_ &= side == 1
             if not open_.any():
                 continue
             own = slice(first[a], first[a + 1])
@@ -247,6 +254,9 @@ def _linked(broadcast, threshold: float):
     return run
 
 
+_LINK = "a struct<id:long,text_hash:long>, b struct<id:long,text_hash:long>"
+
+
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text", strength: float = IDF_STRENGTH) -> DataFrame:
     """One row per row of ``documents``: id, class_id (the smallest id of its group), kept.
 
@@ -254,46 +264,80 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str
     with a weighted Jaccard similarity of ``threshold`` or more, are linked, and a
     group holds all that links reach. A null, empty or wordless text is alone; so is
     a row with a null id (class_id null, kept). Rows with one id share their group if
-    their texts are equal or linked. Other columns play no part; an empty table gives
-    an empty table.
+    their texts are equal or linked. Texts of any length are read whole. Other columns
+    play no part; an empty table gives an empty table.
     """
     out = _classes(documents, threshold, id_column, text_column, strength)
     return out.select(F.col("id").alias(id_column), F.col("class.id").alias("class_id"), F.coalesce(F.col("id") == F.col("class.id"), F.lit(True)).alias("kept"))
 
 
+def _links(heads: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share a key, enough to join all that are similar.
+
+    The texts of a key are dealt to blocks of at most about ``BLOCK`` texts and
+    ``BLOCK_BYTES``. First each block is compared in itself and with the key's pivot,
+    its smallest text: one copy of a text for each key, and the copies of near equal
+    texts are then joined through the pivot. Only where a key's texts are still apart
+    are those outside its largest group compared with all texts of other blocks.
+    """
+    keyed = heads.select("id", "text_hash", "size", F.explode("bands").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(F.struct("id", "text_hash")).alias("pivot"), F.expr("bit_xor(xxhash64(id, text_hash))").alias("members")).where("n > 1")
+    groups = groups.groupBy("n", "members", "pivot", "bytes").agg(F.min("key").alias("key"))  # the same group under several keys is compared once
+    n_blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long")
+    groups = written(groups.select("key", "n", "pivot", n_blocks.alias("blocks")), "keys")
+    none, every = F.lit(None).cast("struct<id:bigint,text_hash:bigint>"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    member = keyed.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("id", "text_hash", "key"), F.col("blocks")))
+    pivots = groups.where("blocks > 1").select("pivot.*", "key", F.explode(every).alias("block"))
+    own = member.select("id", "text_hash", "key", "block").union(pivots)
+    jobs = own.select("id", "text_hash", F.struct("key", F.lit(0).cast("long").alias("i"), F.col("block").alias("k")).alias("job"), F.lit(0).alias("side"), none.alias("known"))
+
+    def compared(jobs: DataFrame) -> DataFrame:
+        job = texts.join(jobs.hint("shuffle_hash"), ["id", "text_hash"]).select("id", "text_hash", "x", "side", "known", "job.*")
+        return written(job.groupBy("key", "i", "k").applyInArrow(_linked(weights, threshold), _LINK), "links")
+
+    links = compared(jobs)
+    large = groups.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    found = components(links)
+    node = F.struct("id", "text_hash")
+    placed = written(member.where("blocks > 1").withColumn("own", node).join(found, F.col("own") == F.col("node"), "left").select("id", "text_hash", "key", "blocks", "block", F.coalesce("component", "own").alias("known")), "placed")
+    sizes = placed.groupBy("key", "known").agg(F.count("*").alias("n"))
+    bodies = sizes.groupBy("key").agg(F.max(F.struct("n", "known")).alias("body"), F.sum("n").alias("n")).where("n > body.n")
+    bodies = bodies.select("key", F.col("body.known").alias("body"), F.ceil((F.col("n") - F.col("body.n")) / BLOCK).cast("long").alias("rests"))
+    apart = placed.join(bodies, "key")
+    rest = F.pmod(F.xxhash64("text_hash", "id", "key"), F.col("rests"))
+    outside = apart.where("known <> body").select("id", "text_hash", "key", rest.alias("i"), F.explode(every).alias("k"), F.lit(0).alias("side"), "known")
+    inside = apart.select("id", "text_hash", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).alias("i"), F.col("block").alias("k"), F.lit(1).alias("side"), "known")
+    more = outside.union(inside).select("id", "text_hash", F.struct("key", "i", "k").alias("job"), "side", "known")
+    return links.union(compared(more))
+
+
 def _classes(documents: DataFrame, threshold: float, id_column: str, text_column: str, strength: float) -> DataFrame:
     """(id, text_hash, class) of each row: class is the smallest (id, text_hash) of its group, null for a null id."""
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).cast("string").alias("x"))
+    rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(f"`{text_column}`").alias("text_hash"), F.col(f"`{text_column}`").cast("string").alias("x"))
     weights = spark.sparkContext.broadcast(shingle_weights(rows.select("x"), strength))
-    marks = written(rows.mapInArrow(_signatures(weights), "id long, text_hash long, k1 long, k2 long, bands array<long>"), "signatures")
+    marks = written(rows.mapInArrow(_signatures(weights), "id long, text_hash long, size long, k1 long, k2 long, bands array<long>"), "signatures")
     able = marks.where("id is not null and k1 is not null")
-    heads = able.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("head"), F.first("bands").alias("bands"))
-    heads = written(heads.select("k1", "k2", F.col("head.id").alias("head"), "head.text_hash", "bands"), "heads")
-
-    keyed = heads.select("head", "text_hash", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(head, text_hash))").alias("members")).where("n > 1")
-    shared = shared.groupBy("n", "members").agg(F.min("key").alias("key"))  # the same group under several keys is compared once
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    member = keyed.join(shared, "key").withColumn("side", F.pmod(F.xxhash64("head", "key"), n_blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
-    jobs = written(member.select("head", "text_hash", "key", "side", other.alias("other")).select("head", "text_hash", "side", F.struct("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("job")), "blocks")
-    by_text = jobs.groupBy("head", "text_hash").agg(F.collect_list(F.struct("job", "side")).alias("jobs"))
-    texts = rows.withColumnRenamed("id", "head").join(by_text.hint("shuffle_hash"), ["head", "text_hash"]).select("head", "text_hash", "x", F.explode("jobs").alias("j")).select(F.col("head").alias("id"), "text_hash", "x", F.col("j.side").alias("side"), F.col("j.job.key").alias("key"), F.col("j.job.i").alias("i"), F.col("j.job.j").alias("k"))
-    links = texts.groupBy("key", "i", "k").applyInArrow(_linked(weights, threshold), "a struct<id:long,text_hash:long>, b struct<id:long,text_hash:long>")
-
-    groups = components(links)
-    nodes = heads.select("k1", "k2", F.struct(F.col("head").alias("id"), "text_hash").alias("own"))
-    named = nodes.join(groups, nodes["own"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "own").alias("class"))
+    heads = able.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash", "size")).alias("head"), F.first("bands").alias("bands"))
+    heads = written(heads.select("k1", "k2", "head.*", "bands"), "heads")
+    groups = components(_links(heads, rows, weights, threshold))
     own = F.struct("id", "text_hash")
+    named = heads.select("k1", "k2", own.alias("own")).join(groups, F.col("own") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "own").alias("class"))
     return marks.join(named, ["k1", "k2"], "left").select("id", "text_hash", F.when(F.col("id").isNotNull(), F.coalesce("class", own)).alias("class"))
 
 
 def drop_near_duplicates(documents: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``documents`` with one row of each group: that of the smallest id, and of several
-    texts with this id that of the smallest hash. Rows with a null id stay."""
+    texts with this id that of the smallest hash. Rows alike in id and text become one.
+    Rows with a null id stay; so do null and empty texts, each under its id. All columns
+    stay, whatever their names; an empty table gives an empty table."""
     classes = _classes(documents, threshold, id_column, text_column, IDF_STRENGTH).where("id is not null")
-    kept = classes.where((F.col("id") == F.col("class.id")) & (F.col("text_hash") == F.col("class.text_hash"))).select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
-    known = documents.where(F.col(id_column).isNotNull()).withColumn("_text_hash", F.xxhash64(text_column)).dropDuplicates([id_column, "_text_hash"])
-    return known.join(kept, (known[id_column] == kept["_kept_id"]) & (known["_text_hash"] == kept["_kept_hash"]), "left_semi").drop("_text_hash").unionByName(documents.where(F.col(id_column).isNull()))
+    kept_id, kept_hash = (free_name(documents, x) for x in ("kept_id", "kept_hash"))
+    kept = classes.where((F.col("id") == F.col("class.id")) & (F.col("text_hash") == F.col("class.text_hash"))).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own, i = [F.col(f"`{c}`") for c in documents.columns], F.col(f"`{id_column}`")
+    known = documents.where(i.isNotNull()).select(*own, i.cast("long").alias(kept_id), F.xxhash64(f"`{text_column}`").alias(kept_hash)).dropDuplicates([kept_id, kept_hash])
+    kept = kept.select(F.col("_id").alias(kept_id), F.col("_hash").alias(kept_hash))
+    return known.join(kept, [kept_id, kept_hash], "left_semi").select(*own).unionByName(documents.where(i.isNull()))

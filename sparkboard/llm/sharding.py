@@ -15,7 +15,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_table, written
 
 OVERHEAD = 16
 BLOCKS = 256  # of documents, in each old shard and size class
@@ -91,7 +91,7 @@ def _placed(rows: DataFrame, flow: dict[tuple[int, int], int]) -> DataFrame:
     middle = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     cuts = _cuts(flow)
     last = {old: k for k, (old, *_) in enumerate(cuts)}
-    table = spark.createDataFrame([(o, n, float(a), 1e300 if last[o] == k else float(b)) for k, (o, n, a, b) in enumerate(cuts)] or [(-1, -1, 0.0, 0.0)], "old int, shard int, low double, high double")
+    table = small_table(spark, [(o, n, float(a), 1e300 if last[o] == k else float(b)) for k, (o, n, a, b) in enumerate(cuts)] or [(-1, -1, 0.0, 0.0)], "old int, shard int, low double, high double")
     found = blocked.join(starts, ["old", "block"]).withColumn("middle", middle)
     # a few stretches for each old shard: no more than old plus new shards in all
     return found.join(F.broadcast(table), ["old"]).where("middle >= low and middle < high").drop("middle", "low", "high", "start")
@@ -116,7 +116,7 @@ def shard_plan(documents: DataFrame, shards: int = 40, old: Column | None = None
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     # old shards beyond the new ones have nothing that can stay: they are one source
     supply = [x.bytes for x in by_name[:shards]] + ([sum(x.bytes for x in by_name[shards:])] if len(by_name) > shards else [])
-    number = spark.createDataFrame([(x.name, min(k, shards)) for k, x in enumerate(by_name)] or [("", 0)], "name string, old int")
+    number = small_table(spark, [(x.name, min(k, shards)) for k, x in enumerate(by_name)] or [("", 0)], "name string, old int")
     numbered = sized.join(number.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name"))).drop("name", "_name")
     rank = sum((F.col("size") <= max(1, total // shards // part)).cast("int") for part in CLASSES)
     numbered = numbered.withColumn("class", rank)

@@ -6,9 +6,12 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 _kept: list[tuple[SparkSession, str]] = []
 
 
@@ -48,12 +51,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python workers in batches of at most ``rows``: the memory of a worker
-    follows the batch, and the default of 10,000 rows is made for short ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES``
+    bytes, the same for every operator: the memory of a worker follows the batch, and the
+    default of 10,000 rows is made for short ones. One longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver knows. It goes by Arrow to the JVM: rows
+    from a list would be pickled by Python workers, which then stay in the executors."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    names, types = zip(*(f.split() for f in schema.split(",")), strict=True)
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)}), schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -76,7 +96,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # dealt by m in between: the join then meets two shuffled sides, of which a node with very many neighbours can be split
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.join(least, "a").where("a <> m").select("a", "m")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
