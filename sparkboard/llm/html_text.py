@@ -1,19 +1,22 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of text. A line's length is what it
-has outside links; lines in elements that hold no article (menus, forms, adverts and
-so on), and lines outside the article element where a page has one, have length 0.
-Lengths are summed over sliding windows of ``WINDOW`` lines: where the sum rises over
-a threshold the text surges, where it is back at 0 it dives, and the lines between
-are kept. Any text is a surge, so only lines of length 0 stay out. Several article
-elements are joined in page order; those named as junk (comments, related pages)
-count only on a page that has no other.
+has outside links, white space not counted; lines inside elements that certainly hold
+no article (menus, forms, adverts and so on) have length 0. Where a page marks its
+articles, the lines are those of the article elements, else those of the main
+element, else all. Lengths are summed over sliding windows of ``WINDOW`` lines. Text
+surges where the sum rises from 0 and reaches ``SURGE`` (in marked articles, and on
+pages with less text, any text will do) and dives where it is back at 0; from each
+surge to its dive, the lines from the first to the last with a length are kept. So one
+or two lines of links inside an article stay, and a list of links or a stray line
+between junk goes.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,136 +25,208 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-WINDOW = 3
+WINDOW, SURGE = 3, 60
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style|itemprop)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_END = re.compile(r">|=\s*+([\"'])")
+_NAMES = re.compile(r"""(?<![^\s"'/])(class|id|role|aria-hidden|hidden|style)(?=[\s=/]|$)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Fixed values of the HTML standard and of common practice.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
+CLOSED_BY = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
 JUNK_ELEMENTS = frozenset("nav footer aside form button label fieldset legend dialog menu head object canvas audio video".split())
-JUNK_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager search searchbox form widget skip complementary contentinfo masthead topbar toolbar".split())
-ARTICLE_NAMES = frozenset("article post entry story content main".split())
-CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+JUNK_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager search searchbox form widget skip complementary contentinfo masthead topbar toolbar".split()
+)
+#: Words that say nothing beside a name of junk: "post-comments" and "sidebar-left" are junk, "social-policy" is not.
+NEUTRAL_NAMES = frozenset("article articles post posts entry story stories content main page site blog global area bar block body box button buttons col column container group inner item items left link links list outer panel right row section text title top bottom wrap wrapper".split())
+HEADER_NAMES = frozenset("header masthead page site global top main wrap wrapper container inner bar".split())
 
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
-def _named(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words: set[str] = set()
+
+def _tag_end(page: str, at: int, missing: set[str]) -> int:
+    """Where the tag that is open at ``at`` ends, after its bracket; -1 if it does not end.
+
+    Brackets inside quoted values do not end it. A quote that is never closed counts as
+    none; ``missing`` holds the quotes that do not come up again, so each is missed once.
+    """
+    while m := _END.search(page, at):
+        if not m[1]:
+            return m.end()
+        close = -1 if m[1] in missing else page.find(m[1], m.end())
+        if close < 0:
+            missing.add(m[1])
+            return page.find(">", m.end()) + 1 or -1
+        at = close + 1
+    return -1
+
+
+def _events(page: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes) and ("close", name, "") in one forward pass."""
+    at, missing = 0, set()
+    while m := _MARKUP.search(page, at):
+        if m.start() > at:
+            yield "text", page[at : m.start()], ""
+        if m[0] == "<!--":
+            end = page.find("-->", m.start() + 2)
+            at = end + 3 if end >= 0 else len(page)
+        elif m[0][-1] in "!?/":
+            at = page.find(">", m.end()) + 1 or len(page)
+        else:
+            name = _NAME.match(page, m.end() - 1)
+            end = _tag_end(page, name.end(), missing)
+            if end < 0:
+                return
+            at, tag, attributes = end, name[0].lower(), page[name.end() : end - 1]
+            if m[0][1] == "/":
+                yield "close", tag, ""
+            elif tag in RAW:
+                if not (tag in ("svg", "math") and attributes.endswith("/")):
+                    close = _RAW_END[tag].search(page, at)
+                    at = close.start() if close else len(page)
+            else:
+                yield "open", tag, attributes
+    if at < len(page):
+        yield "text", page[at:], ""
+
+
+def _named(attributes: str) -> tuple[list[frozenset[str]], bool]:
+    """The words of each class, id and role, and whether the element is hidden."""
+    names: list[frozenset[str]] = []
     hidden = False
     for name, a, b, c in _NAMES.findall(attributes):
         value, name = a or b or c, name.lower()
-        if name in ("class", "id", "role", "itemprop"):
-            words |= {w.lower() for w in _PARTS.findall(value)}
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            hidden = True
-    return words, hidden
+        if name in ("class", "id", "role"):
+            names += [frozenset(w.lower() for w in _PARTS.findall(x)) for x in value.split()]
+        else:
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and bool(_INVISIBLE.search(value))
+    return names, hidden
+
+
+def _is_junk(words: frozenset[str]) -> bool:
+    """A name is junk if all its words are, or say nothing, and one is."""
+    return bool(words & JUNK_NAMES) and all(w in JUNK_NAMES or w in NEUTRAL_NAMES or w.isdigit() for w in words)
 
 
 def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, length outside links, article) of each block that is not junk.
+    """(text, length outside links, article) of each block; one of junk has no text and length 0.
 
     article is 1 in an article element, 0 in one with a name of junk, -1 in a main element, -2 for none.
     """
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, int, bool]] = [("", False, -2, False)]  # element, junk, article, link
+    opened: Counter[str] = Counter()
     text: list[str] = []
     free = 0
+    some = False  # text, junk too, since the last line
 
     def flush(article: int) -> None:
-        nonlocal free
-        if text:
-            block = " ".join(html.unescape("".join(text)).split())
-            if block:
-                out.append((block, min(free, len(block)), article))
-            text.clear()
-        free = 0
+        nonlocal free, some
+        if some:
+            out.append((" ".join("".join(text).split()), free, article))
+        text.clear()
+        free, some = 0, False
 
     def close(k: int) -> None:
         while len(stack) > k:
-            name, junk, article, _ = stack[-1]
-            if name in BLOCK or junk != stack[-2][1] or article != stack[-2][2]:
+            name, junk, article, _ = stack.pop()
+            opened[name] -= 1
+            if name in BLOCK or junk != stack[-1][1] or article != stack[-1][2]:
                 flush(article)
-            stack.pop()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        _, junk, article, link = stack[-1]
-        if not junk and m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if not link:
-                free += len(piece) - piece.count(" ") if piece.isspace() else len(piece)
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            continue
-        if m[2]:
+    def innermost(names: tuple[str, ...], border: bool) -> int:
+        """The place of the innermost open element of ``names``, with ``border`` inside no other block; 0 if there is none."""
+        if any(opened[n] for n in names):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
+                if stack[k][0] in names:
+                    return k
+                if border and stack[k][0] in BLOCK:
                     break
-            else:
-                if name in BLOCK:
-                    flush(article)
+        return 0
+
+    for kind, name, attributes in _events(page):
+        _, junk, article, link = stack[-1]
+        if kind == "text":
+            if not name.isspace():
+                some = True
+            if not junk:
+                piece = html.unescape(name) if "&" in name else name
+                text.append(piece)
+                if not link:
+                    free += sum(map(len, piece.split()))
+            continue
+        if kind == "close":
+            if k := innermost((name,), False):
+                close(k)
+            elif name in BLOCK:
+                flush(article)
             continue
         if name == "br":
-            if not junk:
-                text.append(" ")
+            text.append(" ")
             continue
         if name in BLOCK:
             flush(article)
-            ends = CLOSED_BY.get(name, "").split()
-            for k in range(len(stack) - 1, 0, -1):  # elements that this one ends without a tag
-                if stack[k][0] in ends or stack[k][0] == "p":
-                    close(k)
-                elif stack[k][0] in BLOCK:
-                    break
+            while k := innermost(CLOSED_BY.get(name, ("p",)), True):  # elements that this one ends without a tag
+                close(k)
             _, junk, article, link = stack[-1]
         if name in VOID:
             continue
         if not junk:
-            words, junk = _named(m[4]) if m[4] else (set(), False)
+            names, junk = _named(attributes) if attributes else ([], False)
+            named = any(map(_is_junk, names))
             inside = article >= 0
-            named = bool(words & JUNK_NAMES and not (words & ARTICLE_NAMES and not words & {"comment", "comments", "ad", "ads", "related", "sidebar"}))
-            junk = junk or name in JUNK_ELEMENTS or named and name not in ("html", "body", "main", "article")
-            if not inside and (name == "header" or "header" in words and not words & ARTICLE_NAMES):
+            is_article = name == "article" or any(w == {"article"} or w == {"article", "body"} for w in names)
+            if name in JUNK_ELEMENTS or named and (inside or not is_article) and name not in ("html", "body", "main"):
                 junk = True
-            if not junk and (name == "article" or {"article", "body"} <= words) and not inside:
+            elif not inside and (name == "header" or any("header" in w and w <= HEADER_NAMES for w in names)) and name not in ("html", "body", "main"):
+                junk = True
+            if not junk and is_article and not inside:
                 article = 0 if named else 1
-            elif not junk and article == -2 and (name == "main" or "main" in words and name != "body"):
+            elif not junk and article == -2 and (name == "main" or name != "body" and any(w == {"main"} or w == {"main", "content"} for w in names)):
                 article = -1
         if junk != stack[-1][1] or article != stack[-1][2]:
             flush(stack[-1][2])
         stack.append((name, junk, article, link or name == "a"))
-    if not stack[-1][1] and at < len(page):
-        rest = page[at:].split("<!--")[0]
-        text.append(rest)
-        free += 0 if stack[-1][3] else len(rest)
+        opened[name] += 1
     close(1)
     flush(-2)
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's text, its blocks joined by spaces; empty if there is none."""
-    found = lines(page or "")
-    inside = max((article for _, _, article in found), default=-2)
-    lengths = [(max(n, 1) if inside >= -1 else n) if article == inside else 0 for _, n, article in found]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    kept: list[int] = []
-    i = 0
-    while i < len(sums):
+def stretches(lengths: list[int], least: int) -> list[tuple[int, int]]:
+    """(from, to) of the lines to keep: from the first line with a length to the last one,
+    where the sums over windows rise from 0, reach ``least`` and are back at 0."""
+    n = len(lengths)
+    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
+    least = min(least, max(sums, default=0))
+    found, i = [], 0
+    while i < n:
         if not sums[i]:
             i += 1
             continue
-        surge = i  # the first window with text; its leading empty lines are no text
-        while i < len(sums) and sums[i] > 0:
+        surge, most = i, 0
+        while i < n and sums[i]:
+            most = max(most, sums[i])
             i += 1
-        kept += [k for k in range(surge, i) if lengths[k]]
-    return " ".join(found[k][0] for k in kept)
+        if most >= least:
+            own = [k for k in range(surge, i) if lengths[k]]
+            found.append((own[0], own[-1] + 1))
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The article's text, its blocks joined by spaces; empty if there is none."""
+    found = lines(page or "")
+    inside = max((article for text, _, article in found if text), default=-2)
+    own = [(text, n) for text, n, article in found if article == inside]
+    kept = stretches([n for _, n in own], 1 if inside >= -1 else SURGE)
+    return " ".join(text for a, b in kept for text, _ in own[a:b] if text)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +238,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``, from its whole html.
 
-    A null or empty page, and one without text, has an empty text. Repeated rows come
-    out as often; other columns play no part.
+    A null or empty page, and one without text, has an empty text. A page of any length
+    is read in one forward pass; markup that does not end is left out to the page's end.
+    Repeated rows come out as often; other columns play no part; an empty table gives an
+    empty table.
     """
     small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)
