@@ -11,11 +11,12 @@ Running sums are taken over blocks first, so no task holds a shard.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_table, written
+from .shared import free_name, small_table, written
 
 OVERHEAD = 16
 BLOCKS = 256  # of documents, in each old shard and size class
@@ -105,8 +106,10 @@ def shard_plan(documents: DataFrame, shards: int = 40, old: Column | None = None
     ``old`` names the present shard of each row (default: the file it was read from;
     rows from no file are one shard). Old shard k, in order of names, is also new
     shard k while k < ``shards``: what stays there does not move. Slots count from 0
-    in each shard without gaps. Rows alike in all of these are exchanged freely. An
-    empty table gives an empty table.
+    in each shard without gaps. Rows alike in all of these are exchanged freely: the
+    law evens out bytes alone, so rows of equal texts (equal text_crc32) are placed
+    each for itself, in one shard or several. A text of any length is one row of its
+    shard; other columns play no part. An empty table gives an empty table.
     """
     spark = documents.sparkSession
     sized = documents.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("crc"), (F.input_file_name() if old is None else old).cast("string").alias("name"))
@@ -140,15 +143,58 @@ def shard_plan(documents: DataFrame, shards: int = 40, old: Column | None = None
     return every.join(starts, ["shard", "old", "class", "block"]).select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("old").alias("old_shard"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published manifests, ascending. One that was not written to its end has no mark of success."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [x.getPath() for x in fs.listStatus(folder)]
+    return sorted(int(x.getName().partition("=")[2]) for x in found if x.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 def reshard(documents: DataFrame, path: str, shards: int = 40, old: Column | None = None) -> DataFrame:
-    """Writes the documents that move, and those of the shards they leave or enter,
-    to ``path``/shard=N; shards that neither lose nor gain are left as they are.
-    Returns the plan."""
+    """Rewrites the shards that lose or gain documents and publishes a manifest; returns the plan.
+
+    The documents of those shards go to a folder of a new version under ``path``/data,
+    in order of their slots; a shard that neither loses nor gains is left in its file,
+    and the manifest names that file. Without files as old shards (``old`` given) all
+    shards are written. The manifest is written last: until then readers see the
+    version before. A run that broke off leaves a folder that no manifest names, which
+    the next run overwrites; a run on an unchanged plan writes nothing. ``read_shards``
+    finds each row of ``documents`` once. Column names may be any.
+    """
+    spark = documents.sparkSession
     plan = written(shard_plan(documents, shards, old), "plan")
-    moved = plan.where("old_shard <> shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    keyed = documents.withColumn("_size", (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long")).withColumn("_crc", F.crc32(F.col("text").cast("binary")))
-    where = plan.join(touched, "shard", "left_semi").select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "shard").dropDuplicates(["_id", "_s", "_c"])
-    same = keyed["doc_id"].eqNullSafe(where["_id"]) & (keyed["_size"] == where["_s"]) & keyed["_crc"].eqNullSafe(where["_c"])
-    keyed.join(where, same).select(*documents.columns, "shard").repartition("shard").write.mode("append").partitionBy("shard").parquet(path)
+    mark = plan.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(doc_id, size, text_crc32, shard, slot))").alias("x")).first()
+    sums = {x.shard: x for x in plan.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max(F.when(F.col("old_shard") != F.col("shard"), 1).otherwise(0)).alias("gains")).collect()}  # a row for each shard
+    names = [x.name for x in documents.select(F.input_file_name().alias("name")).distinct().orderBy(F.col("name").asc_nulls_last()).collect()]  # the old shards, numbered as in the plan
+    loses = {x.old_shard for x in plan.where("old_shard <> shard").select("old_shard").distinct().collect()}
+    kept = {k for k, x in sums.items() if old is None and k < len(names) and names[k] and not x.gains and k not in loses}
+    versions = _versions(spark, path)
+    print_of = f"{mark.n} {mark.x}"
+    if versions and spark.read.parquet(f"{path}/manifest/version={versions[-1]}").where(F.col("plan") == print_of).limit(1).count():
+        return plan
+    version = (versions[-1] if versions else 0) + 1
+    shard = free_name(documents, "shard")
+    key = ["_doc", "_size", "_crc", "_copy"]
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    keyed = rows.select("row", F.col("row.doc_id").alias("_doc"), (F.coalesce(F.octet_length("row.text"), F.lit(0)) + OVERHEAD).cast("long").alias("_size"), F.crc32(F.col("row.text").cast("binary")).alias("_crc"))
+    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy("_doc", "_size", "_crc").orderBy(F.xxhash64("row"))))
+    wanted = plan.where(~F.col("shard").isin(*kept)) if kept else plan
+    placed = plan.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "size", "text_crc32").orderBy("shard", "slot"))).join(wanted.select("shard", "slot"), ["shard", "slot"], "left_semi")
+    placed = placed.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "_copy", F.col("shard").alias("_shard"), "slot")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key]
+    moved = keyed.alias("k").join(placed.alias("p"), same).select("row", "_shard", "slot").repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    moved.select("row.*", F.col("_shard").alias(shard)).write.mode("overwrite").partitionBy(shard).parquet(f"{path}/data/version={version}")
+    manifest = [(k, names[k] if k in kept else f"{path}/data/version={version}/{shard}={k}", shard, x.n, x.bytes, print_of) for k, x in sorted(sums.items())]
+    small_table(spark, manifest, "shard int, folder string, column string, rows long, bytes long, plan string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
     return plan
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All documents of the newest manifest under ``path``, with the number of their shard."""
+    rows = spark.read.parquet(f"{path}/manifest/version={_versions(spark, path)[-1]}").collect()  # a row for each shard
+    parts = [spark.read.parquet(x.folder).withColumn(x.column, F.lit(x["shard"])) for x in rows]
+    return reduce(DataFrame.unionByName, parts)
