@@ -59,8 +59,7 @@ def _cells(broadcast, reach: float):
                 if key in fitted:
                     by.setdefault(key, []).append(i)
             for key, rows in by.items():
-                centroids = fitted[key]
-                gaps = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
+                centroids, gaps = fitted[key]
                 x = _unit(_matrix(batch.column("vec").take(pa.array(rows))))
                 near = x @ centroids.T
                 own = np.argmax(near, axis=1)
@@ -141,7 +140,7 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.93, id_column:
     points = written(rows.where("sound").groupBy("grp", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("mult")).withColumn("dim", F.size("vec")), "points")
     # labels large enough for cells: at most one for each CELL points, the largest MOST_CELLS of them
     large = points.groupBy("grp", "dim").agg(F.count("*").alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n"), "grp", "dim").limit(MOST_CELLS).collect()
-    fitted: dict[tuple[str, int], np.ndarray] = {}
+    fitted: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}  # centroids and their distances
     if large:
         every, dim = sum(x.n for x in large), max(x.dim for x in large)
         rows_wanted = max(256, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
@@ -155,7 +154,8 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.93, id_column:
             own = by.get((x.grp, x.dim), [])
             k = min(-(-x.n // CELL), len(own) // 8, max(1, MOST_CELLS * x.n // every))
             if k > 1:
-                fitted[x.grp, x.dim] = spherical_kmeans(_unit(np.array(own)), k)
+                centroids = spherical_kmeans(_unit(np.array(own)), k)
+                fitted[x.grp, x.dim] = centroids, np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
     placed = written(points.mapInArrow(_cells(spark.sparkContext.broadcast(fitted), reach), "rep long, mult long, grp string, dim int, vec array<double>, home long, guest array<long>"), "cells")
     count = lambda df: df.groupBy("grp", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
@@ -175,8 +175,10 @@ def embedding_groups(embeddings: DataFrame, threshold: float = 0.93, id_column:
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     groups = components(found.where("b is not null").select("a", "b"))
     named = points.join(counts, points["rep"] == counts["a"], "left").join(groups, points["rep"] == groups["node"], "left")
-    named = named.select(F.col("grp").alias("_grp"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    matched = rows.where("sound").join(named, (F.col("grp") == F.col("_grp")) & (F.col("vec") == F.col("_vec"))).select("id", "links", "component")
+    # rows find their point by two hashes of the vector, 128 bits, so no vector is shuffled here
+    marks = [F.xxhash64("vec").alias("h"), F.xxhash64(F.lit("second"), "grp", "vec").alias("h2")]
+    named = named.select("grp", *marks, (F.coalesce("links", F.lit(0).cast("long")) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    matched = rows.where("sound").select("id", "grp", *marks).join(named, ["grp", "h", "h2"]).select("id", "links", "component")
     alone = rows.where("not sound").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = matched.unionByName(alone)
     return out.select(F.col("id").alias(id_column), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
