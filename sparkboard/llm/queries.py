@@ -74,7 +74,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"), window=20, levels=1, digest=True).withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=20, levels=2, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 @_query

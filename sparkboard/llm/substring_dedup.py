@@ -4,6 +4,7 @@ Level 1 hashes every window of ``window / 2**levels`` words. A window whose hash
 comes up once in the corpus cannot be part of a longer repeat, so at the next
 level, of twice the length, only those pairs of neighbours are joined of which
 both repeat. That goes on until the asked window is reached or nothing survives.
+Windows count as equal if two hashes of 64 bits made of both halves' hashes agree.
 
 Texts are read once. A map task hashes its texts in chunks of up to 2**20 words
 and sends, to each range of hashes, the chunk's distinct hashes with a position,
@@ -59,21 +60,21 @@ class _Chunk:
         valid = starts.astype(_U)
         found = wh.windows(hashes, length)[starts] if len(starts) else np.zeros(0, _U)
         low = _U((1 << POSITION_BITS) - 1)
-        packed = np.sort((found & ~low) | valid)
-        top = packed & ~low
-        head = np.ones(len(top), bool)
-        head[1:] = top[1:] != top[:-1]
-        again = ~head
-        again[:-1] |= ~head[1:]
-        out = [(chunk, chunk, INDEX, index.tobytes())]
-        if again.any():
-            out.append((chunk, chunk, KNOWN, wh.pack(np.sort(_by_position(packed[again])))))
-        packed = packed[head]
-        edges = np.searchsorted(packed, (np.arange(1, 1 << bits, dtype=_U)) << _U(64 - bits))
-        for k, part in enumerate(np.split(packed, edges)):
-            if len(part):
-                out.append((k, chunk, HASHES, wh.pack(part)))
-        return out
+        return [(chunk, chunk, INDEX, index.tobytes()), *_asked(chunk, (found & ~low) | valid, bits)]
+
+
+def _asked(chunk: int, packed: np.ndarray, bits: int) -> list[tuple[int, int, int, bytes]]:
+    """What a chunk knows to repeat by itself, and what it asks the ranges of hashes; packed holds hash before position."""
+    packed, low = np.sort(packed), _U((1 << POSITION_BITS) - 1)
+    top = packed & ~low
+    head = np.ones(len(top), bool)
+    head[1:] = top[1:] != top[:-1]
+    again = ~head
+    again[:-1] |= ~head[1:]
+    out = [(chunk, chunk, KNOWN, wh.pack(np.sort(_by_position(packed[again]))))] if again.any() else []
+    packed = packed[head]
+    edges = np.searchsorted(packed, (np.arange(1, 1 << bits, dtype=_U)) << _U(64 - bits))
+    return out + [(k, chunk, HASHES, wh.pack(part)) for k, part in enumerate(np.split(packed, edges)) if len(part)]
 
 
 def _by_position(packed: np.ndarray) -> np.ndarray:
@@ -139,8 +140,9 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_table(rows)])
 
 
-def _doubled(length: int, levels: int, bits: int):
-    """Of a chunk: positions at which both halves of a window repeat."""
+def _doubled(length: int, last: bool, bits: int):
+    """Of a chunk: windows of twice the length of which both halves repeat. Before the last
+    level they are asked for again; at the last one they go to the ranges with id and start."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
@@ -154,45 +156,46 @@ def _doubled(length: int, levels: int, bits: int):
         at = (have >> _U(64 - POSITION_BITS)).astype(np.int64)
         hashes = have & _U((1 << (64 - POSITION_BITS)) - 1)
         ends = np.cumsum(pieces[:, 3])
-        span = length
-        for _ in range(levels):
-            nxt = np.searchsorted(at, at + span)
-            ok = nxt < len(at)
-            ok[ok] = at[nxt[ok]] == at[ok] + span
-            i, j = np.flatnonzero(ok), nxt[ok]
-            same = np.searchsorted(ends, at[i], "right") == np.searchsorted(ends, at[j], "right")
-            i, j = i[same], j[same]
-            hashes, at, span = wh.mix(hashes[i] * _U(0xD1342543DE82EF95) + wh.mix(hashes[j])), at[i], 2 * span
+        nxt = np.searchsorted(at, at + length)
+        ok = nxt < len(at)
+        ok[ok] = at[nxt[ok]] == at[ok] + length
+        i, j = np.flatnonzero(ok), nxt[ok]
+        same = np.searchsorted(ends, at[i], "right") == np.searchsorted(ends, at[j], "right")
+        i, j = i[same], j[same]
+        hashes, check, at = wh.mix(hashes[i] * _U(0xD1342543DE82EF95) + wh.mix(hashes[j])), wh.mix(hashes[j] * _U(0xAF251AF3B0F025B5) + hashes[i]), at[i]
+        rows = [(chunk, chunk, INDEX, index[0])]
+        if not last:
+            low = _U((1 << POSITION_BITS) - 1)
+            return pa.Table.from_batches([_blob_table(rows + _asked(chunk, (hashes & ~low) | at.astype(_U), bits) if len(at) else [])])
         piece = np.searchsorted(ends, at, "right")
         inside = at - (ends - pieces[:, 3])[piece]
         counts = inside < pieces[piece, 4]
-        hashes, at, ids, start = hashes[counts], at[counts], pieces[piece[counts], 0], inside[counts] + pieces[piece[counts], 2]
+        hashes, check, at, ids, start = hashes[counts], check[counts], at[counts], pieces[piece[counts], 0], inside[counts] + pieces[piece[counts], 2]
         if not len(hashes):
             return pa.Table.from_batches([_blob_table([])])
-        hashes, ids, start, at, later = _order(hashes, ids, start, at)
-        rows = [(chunk, chunk, INDEX, index[0])]
+        hashes, check, ids, start, at, later = _order(hashes, check, ids, start, at)
         if later.any():
             rows.append((chunk, chunk, REMOVED, wh.pack(np.sort(at[later]).astype(_U))))
         lone = ~later
-        hashes, ids, start, at = hashes[lone], ids[lone], start[lone], at[lone]
+        hashes, *rest = (x[lone] for x in (hashes, check.view(np.int64), ids, start, at))
         edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
-        for k, (h, *rest) in enumerate(zip(*(np.split(x, edges) for x in (hashes, ids, start, at)), strict=True)):
+        for k, (h, *own) in enumerate(zip(*(np.split(x, edges) for x in (hashes, *rest)), strict=True)):
             if len(h):
-                packed = [wh.pack(h), *(wh.pack_any(x) for x in rest)]
+                packed = [wh.pack(h), *(wh.pack_any(x) for x in own)]
                 rows.append((k, chunk, HASHES, b"".join([*(len(x).to_bytes(4, "little") for x in packed), *packed])))
         return pa.Table.from_batches([_blob_table(rows)])
 
     return run
 
 
-def _order(hashes: np.ndarray, ids: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All by hash, id and start, and which of them have an earlier equal."""
-    order = np.lexsort((start, ids, hashes))
-    hashes, ids, start = hashes[order], ids[order], start[order]
+def _order(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All by hash, second hash, id and start, and which of them have an earlier equal: in both hashes."""
+    order = np.lexsort((start, ids, check, hashes))
+    hashes, check, ids, start = hashes[order], check[order], ids[order], start[order]
     head = np.ones(len(hashes), bool)
-    head[1:] = hashes[1:] != hashes[:-1]
+    head[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
     lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-    return hashes, ids, start, *(x[order] for x in more), (ids != ids[lead]) | (start != start[lead])
+    return hashes, check, ids, start, *(x[order] for x in more), (ids != ids[lead]) | (start != start[lead])
 
 
 def _later(table: pa.Table) -> pa.Table:
@@ -203,7 +206,7 @@ def _later(table: pa.Table) -> pa.Table:
     parts: list[list[np.ndarray]] = []
     for n, i in enumerate(own):
         blob = blobs[int(i)].as_py()
-        cuts = 16 + np.cumsum([0, *np.frombuffer(blob[:16], "<u4")])
+        cuts = 20 + np.cumsum([0, *np.frombuffer(blob[:20], "<u4")])
         hashes, *rest = (blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
         h = wh.unpack(hashes)
         parts.append([h, *(wh.unpack_any(x) for x in rest), np.full(len(h), n)])
@@ -253,9 +256,12 @@ def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_
     length = window >> levels
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("t"), F.col(text_column).cast("string").alias("x"))
     first = rows.mapInArrow(_first_level(length, window, bits), _BLOBS)
-    known = first.groupBy(F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")).applyInArrow(_repeated, _BLOBS)
-    doubled = known.groupBy("chunk").applyInArrow(_doubled(length, levels, bits), _BLOBS)
-    late = doubled.groupBy(F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")).applyInArrow(_later, _BLOBS)
+    to = F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")
+    known = first.groupBy(to).applyInArrow(_repeated, _BLOBS)
+    for level in range(levels):
+        doubled = known.groupBy("chunk").applyInArrow(_doubled(length << level, level == levels - 1, bits), _BLOBS)
+        known = doubled.groupBy(to).applyInArrow(_repeated if level < levels - 1 else _later, _BLOBS)
+    late = known
     return late.groupBy("chunk").applyInArrow(_by_text, _SPANS)
 
 

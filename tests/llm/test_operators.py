@@ -272,6 +272,9 @@ def test_substrings(spark, texts, monkeypatch):
             if first[b" ".join(w[k : k + 20])] != (i, k):
                 gone |= set(range(k, k + 20))
         want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
+    collide = np.array([7, 7, 7, 9], np.uint64)
+    *_, later = substring_dedup._order(collide, np.array([1, 2, 1, 1], np.uint64), np.array([4, 5, 6, 7]), np.array([0, 0, 0, 0]))
+    assert later.tolist() == [False, True, False, False]  # equal in one hash alone: not a repeat
     for levels in (1, 2):
         assert collections.Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, 20, levels, digest=True).collect()) == want
     assert any(x[2] for x in want)
