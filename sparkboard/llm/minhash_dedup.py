@@ -29,6 +29,7 @@ from .shared import components, free_name, small_batches, written
 
 SHINGLE, BANDS, ROWS = 5, 12, 3
 BLOCK, BLOCK_BYTES = 256, 2 << 20
+MOST_BROADCAST = 1 << 18  # pairs of two numbers
 RARE, TABLE = 256, 1 << 18
 IDF_STRENGTH = 0.25
 CANDIDATES = 1 << 21  # counted in one pass
@@ -292,7 +293,12 @@ def _links(heads: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
     jobs = own.select("id", "text_hash", F.struct("key", F.lit(0).cast("long").alias("i"), F.col("block").alias("k")).alias("job"), F.lit(0).alias("side"), none.alias("known"))
 
     def compared(jobs: DataFrame) -> DataFrame:
-        job = texts.join(jobs.hint("shuffle_hash"), ["id", "text_hash"]).select("id", "text_hash", "x", "side", "known", "job.*")
+        jobs = written(jobs, "jobs")
+        needed = jobs.select("id", "text_hash").distinct()
+        some = texts
+        if needed.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:  # then other texts need not be shuffled
+            some = texts.join(F.broadcast(needed), ["id", "text_hash"], "left_semi")
+        job = some.join(jobs.hint("shuffle_hash"), ["id", "text_hash"]).select("id", "text_hash", "x", "side", "known", "job.*")
         return written(job.groupBy("key", "i", "k").applyInArrow(_linked(weights, threshold), _LINK), "links")
 
     links = compared(jobs)
@@ -304,7 +310,10 @@ def _links(heads: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
     placed = written(member.where("blocks > 1").withColumn("own", node).join(found, F.col("own") == F.col("node"), "left").select("id", "text_hash", "key", "blocks", "block", F.coalesce("component", "own").alias("known")), "placed")
     sizes = placed.groupBy("key", "known").agg(F.count("*").alias("n"))
     bodies = sizes.groupBy("key").agg(F.max(F.struct("n", "known")).alias("body"), F.sum("n").alias("n")).where("n > body.n")
-    bodies = bodies.select("key", F.col("body.known").alias("body"), F.ceil((F.col("n") - F.col("body.n")) / BLOCK).cast("long").alias("rests"))
+    # written, so that the join meets the placed texts of a common key as they were read, not dealt by key
+    bodies = written(bodies.select("key", F.col("body.known").alias("body"), F.ceil((F.col("n") - F.col("body.n")) / BLOCK).cast("long").alias("rests")), "bodies")
+    if bodies.isEmpty():
+        return links
     apart = placed.join(bodies, "key")
     rest = F.pmod(F.xxhash64("text_hash", "id", "key"), F.col("rests"))
     outside = apart.where("known <> body").select("id", "text_hash", "key", rest.alias("i"), F.explode(every).alias("k"), F.lit(0).alias("side"), "known")

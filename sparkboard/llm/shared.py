@@ -96,8 +96,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        # dealt by m in between: the join then meets two shuffled sides, of which a node with very many neighbours can be split
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+        # dealt by both in between: the join then meets two shuffled sides, of which a node with very many neighbours can be split
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m", "a")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.join(least, "a").where("a <> m").select("a", "m")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
