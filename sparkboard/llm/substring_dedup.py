@@ -4,7 +4,7 @@ Level 1 hashes every window of ``window / 2**levels`` words. A window whose hash
 comes up once in the corpus cannot be part of a longer repeat, so at the next
 level, of twice the length, only those pairs of neighbours are joined of which
 both repeat. That goes on until the asked window is reached or nothing survives.
-Windows count as equal if two hashes of 64 bits made of both halves' hashes agree.
+Windows count as equal if two hashes of both halves' hashes agree, of 64 and 32 bits.
 
 Texts are read once. A map task hashes its texts in chunks of up to 2**20 words
 and sends, to each range of hashes, the chunk's distinct hashes with a position,
@@ -162,7 +162,7 @@ def _doubled(length: int, last: bool, bits: int):
         i, j = np.flatnonzero(ok), nxt[ok]
         same = np.searchsorted(ends, at[i], "right") == np.searchsorted(ends, at[j], "right")
         i, j = i[same], j[same]
-        hashes, check, at = wh.mix(hashes[i] * _U(0xD1342543DE82EF95) + wh.mix(hashes[j])), wh.mix(hashes[j] * _U(0xAF251AF3B0F025B5) + hashes[i]), at[i]
+        hashes, check, at = wh.mix(hashes[i] * _U(0xD1342543DE82EF95) + wh.mix(hashes[j])), wh.mix(hashes[j] * _U(0xAF251AF3B0F025B5) + hashes[i]) >> _U(32), at[i]
         rows = [(chunk, chunk, INDEX, index[0])]
         if not last:
             low = _U((1 << POSITION_BITS) - 1)
