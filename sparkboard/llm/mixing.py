@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-BUCKETS, CHUNK, CELLS = 1024, 1 << 12, 1 << 10
+BUCKETS, CHUNK, CELLS = 1024, 1 << 9, 1 << 10
 SLOTS_PER_SOURCE, LARGEST_BLOCK = 1000, 1 << 16
 GOLDEN = 0.6180339887498949
 MOST = 3  # times that a document may be taken
@@ -80,7 +80,8 @@ def mixed(documents: DataFrame) -> DataFrame:
     ``MOST`` times its size at most; over a source they sum to its target, rounded
     to a word. A null text has size 0 and is not taken; a null source is a source
     of its own, last in order. Rows alike in doc_id, source and size are exchanged
-    freely, so reruns agree. An empty table gives an empty table.
+    freely, so reruns agree. A text of any length counts whole; other columns play no
+    part, but the table of sources must fit one task. An empty table gives an empty table.
     """
     sized = written(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -111,12 +112,15 @@ def mixed(documents: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame) -> DataFrame:
-    """``documents`` as mixed, with their own columns: a row each time a document is
-    taken; where the last block of a source cuts a document, only the words taken stay."""
+    """``documents`` as mixed, with their own columns, whatever their names: a row each time
+    a document is taken; where the last block of a source cuts a document, only the words
+    taken stay. Null, empty and blank texts have no words and are not taken. An empty
+    table gives an empty table.
+    """
     plan = mixed(documents).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    named = documents.withColumn("_words", n_words(F.col("text")))
-    joined = named.join(plan, named["doc_id"].eqNullSafe(plan["_id"]) & named["source"].eqNullSafe(plan["_source"]) & (named["_words"] == plan["_size"]))
-    turns = joined.withColumn("_left", F.explode(F.expr("transform(sequence(0L, (_taken - 1) div _size), i -> least(_size, _taken - i * _size))")))
-    first_words = F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"), F.lit(1), F.col("_left").cast("int")), " ")
-    return turns.withColumn("text", F.when(F.col("_left") == F.col("_size"), F.col("text")).otherwise(first_words)).select(*documents.columns)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), n_words(F.col("text")).alias("words"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    turns = rows.join(plan, same).select("row", "size", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("left"))
+    first_words = F.array_join(F.slice(F.expr(r"regexp_extract_all(row.text, '[^\\x20\\x09-\\x0D]+', 0)"), F.lit(1), F.col("left").cast("int")), " ")
+    text = F.when(F.col("left") == F.col("size"), F.col("row.text")).otherwise(first_words)
+    return turns.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])
