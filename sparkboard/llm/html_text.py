@@ -5,11 +5,10 @@ has outside links, white space not counted; lines inside elements that certainly
 no article (menus, forms, adverts and so on) have length 0. Where a page marks its
 articles, the lines are those of the article elements, else those of the main
 element, else all. Lengths are summed over sliding windows of ``WINDOW`` lines. Text
-surges where the sum rises from 0 and reaches ``SURGE`` (in marked articles, and on
-pages with less text, any text will do) and dives where it is back at 0; from each
-surge to its dive, the lines from the first to the last with a length are kept. So one
-or two lines of links inside an article stay, and a list of links or a stray line
-between junk goes.
+surges where the sum rises from 0 and dives where it is back at 0; from each surge to
+its dive, the lines from the first to the last with a length are kept. So one or two
+lines of links between others stay, and a list of links goes. No stretch is too short:
+a short section after such a list is article too.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-WINDOW, SURGE = 3, 60
+WINDOW = 3
 
 _MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -199,24 +198,21 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def stretches(lengths: list[int], least: int) -> list[tuple[int, int]]:
-    """(from, to) of the lines to keep: from the first line with a length to the last one,
-    where the sums over windows rise from 0, reach ``least`` and are back at 0."""
+def stretches(lengths: list[int]) -> list[tuple[int, int]]:
+    """(from, to) of the lines to keep, for each surge and its dive: from the first line
+    with a length to the last one."""
     n = len(lengths)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    least = min(least, max(sums, default=0))
     found, i = [], 0
     while i < n:
         if not sums[i]:
             i += 1
             continue
-        surge, most = i, 0
+        surge = i
         while i < n and sums[i]:
-            most = max(most, sums[i])
             i += 1
-        if most >= least:
-            own = [k for k in range(surge, i) if lengths[k]]
-            found.append((own[0], own[-1] + 1))
+        own = [k for k in range(surge, i) if lengths[k]]
+        found.append((own[0], own[-1] + 1))
     return found
 
 
@@ -225,8 +221,7 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     inside = max((article for text, _, article in found if text), default=-2)
     own = [(text, n) for text, n, article in found if article == inside]
-    kept = stretches([n for _, n in own], 1 if inside >= -1 else SURGE)
-    return " ".join(text for a, b in kept for text, _ in own[a:b] if text)
+    return " ".join(text for a, b in stretches([n for _, n in own]) for text, _ in own[a:b] if text)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

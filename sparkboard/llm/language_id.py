@@ -200,7 +200,11 @@ class Model:
         entry = np.repeat(self.first[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         return np.bincount(np.repeat(text, many) * classes + self.language[entry], np.repeat(x, many) * self.value[entry], texts * classes).reshape(texts, classes)
 
-    def predict(self, column: pa.Array) -> pa.StructArray:
+    def predict(self, text: str | None) -> tuple[str, float]:
+        found = self.predict_all(pa.array([text], pa.string()))[0].as_py()
+        return found["lang_pred"], found["score"]
+
+    def predict_all(self, column: pa.Array) -> pa.StructArray:
         best, sure = np.full(len(column), -1), np.zeros(len(column))
         for i, bounds, at, n in vectors(column):
             some = np.diff(bounds) > 0
@@ -272,7 +276,7 @@ def predicted(text: Column, model: Model, documents: DataFrame) -> Column:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            yield known.value.predict(column)
+            yield known.value.predict_all(column)
 
     return predict(text.cast("string"))
 

@@ -134,7 +134,7 @@ def test_scores_are_calibrated(spark):
     model = language_id.train(language_id.learnable(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
     new = [(make(la, 60), la) for la in sorted(parts) for _ in range(300)]
     pieces = [(t[a : a + n], la) for t, la in new for n in language_id.PIECES for a in [rng.randrange(len(t) - 100)]]
-    got = model.predict(pa.array([t for t, _ in pieces]))
+    got = model.predict_all(pa.array([t for t, _ in pieces]))
     score, right = got.field("score").to_numpy(), np.array([a == b for a, (_, b) in zip(got.field("lang_pred").to_pylist(), pieces, strict=True)])
     bins = np.minimum((score * 10).astype(int), 9)
     error = sum(abs(score[bins == k].mean() - right[bins == k].mean()) * (bins == k).mean() for k in range(10) if (bins == k).any())

@@ -117,8 +117,6 @@ def plain_text(page):
             found.append((text, sum(not r[1].isspace() and not r[4] for r in own) if text else 0, own[0][3]))
     inside = max([x[2] for x in found if x[0]], default=-2)
     found = [x for x in found if x[2] == inside]
-    least = 1 if inside >= -1 else h.SURGE
-    least = min(least, max([sum(x[1] for x in found[i : i + h.WINDOW]) for i in range(len(found))], default=0))
     chains = []  # lines with a length, no more than a window from the one before
     for i, x in enumerate(found):
         if x[1]:
@@ -128,8 +126,7 @@ def plain_text(page):
                 chains.append([i])
     out = []
     for chain in chains:
-        if any(sum(x[1] for x in found[i : i + h.WINDOW]) >= least for i in range(max(0, chain[0] - h.WINDOW + 1), chain[-1] + 1)):
-            out += [x[0] for x in found[chain[0] : chain[-1] + 1] if x[0]]
+        out += [x[0] for x in found[chain[0] : chain[-1] + 1] if x[0]]
     return " ".join(out)
 
 
@@ -159,9 +156,9 @@ def test_windows_decide():
     every = " ".join(t for t, _, _ in h.lines(page) if t)
     assert "Topic 2" in every and every != h.main_text(page)
     free = f"<body><p>Call us</p>{links}<p>Title</p><p>{LONG}</p><p>Yes.</p>{links}<p>Terms</p></body>"
-    assert h.main_text(free) == f"Title {LONG}Yes."
+    assert h.main_text(free) == f"Call us Title {LONG}Yes. Terms"
     assert h.main_text("<body><p>Only this</p></body>") == "Only this"
-    assert h.stretches([0, 5, 0, 0, 70, 0, 0, 0, 3], 60) == [(1, 5)] and h.stretches([0, 5, 0, 0, 0, 2], 1) == [(1, 2), (5, 6)] and h.stretches([], 60) == []
+    assert h.stretches([0, 5, 0, 0, 70, 0, 0, 0, 3]) == [(1, 5), (8, 9)] and h.stretches([0, 5, 0, 0, 0, 2]) == [(1, 2), (5, 6)] and h.stretches([]) == []
 
 
 @pytest.mark.parametrize("page, text", [("<article>A</article><article>Bbb</article>", "A Bbb"), ('Hello <a title="foo>bar</a> world', "Hello bar world"), ('<article>x<div class="social-policy">y</div><div class="post-comments">z</div><article class="comment">no</article></article>', "x y"), ("<article class=comment><p>only</p></article>", "only"), (None, ""), ("", ""), ("<nav>a</nav>", "")])
