@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dice, jaccard, norm, words
 
-MOST_BROADCAST = 50_000  # dictionary rows
-
 
 def dictionary_hits(docs: DataFrame, doc: str, text: str, terms: DataFrame, term: str, longest: int = 4) -> DataFrame:
     """(doc, term, hits): whole-word occurrences of dictionary terms of up to ``longest``
@@ -41,10 +39,28 @@ def nearest_phrase(phrases: DataFrame, learned: DataFrame, least: float = 0.8, l
     return scored.withColumn("r", rank).where("r = 1").select("phrase", "learned", "score")
 
 
+def covered(items: DataFrame, item: str, item_words: str, docs: DataFrame, doc: str, doc_words: str, least: float = 0.8) -> DataFrame:
+    """(item, doc, coverage): documents that hold a share of ``least`` or more of an item's distinct words.
+
+    Of an item's n words such a document misses n - ceil(least n) at most, so it holds
+    one of any n - ceil(least n) + 1 of them: candidates meet on that many of the item's
+    rarest words, and common words pair nothing.
+    """
+    left = items.select(F.col(item).alias("item"), F.array_distinct(item_words).alias("a")).where(F.size("a") > 0)
+    right = docs.select(F.col(doc).alias("doc"), F.array_distinct(doc_words).alias("b"))
+    tokens = left.select("item", F.size("a").alias("n"), F.explode("a").alias("token"))
+    held = right.select("doc", F.explode("b").alias("token")).join(tokens.select("token").distinct(), "token")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), F.asc("token")))
+    rare = tokens.join(df, "token", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    pairs = rare.select("item", "token").join(held, "token").select("item", "doc").distinct()
+    share = F.size(F.array_intersect("a", "b")) / F.size("a")
+    return pairs.join(left, "item").join(right, "doc").select("item", "doc", share.alias("coverage")).where(F.col("coverage") >= least)
+
+
 def with_lookup(df: DataFrame, table: DataFrame, on: list[str], default: dict[str, Column] | None = None) -> DataFrame:
-    """Left lookup with fall-backs; the table is broadcast if it is checked to be small."""
-    small = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    out = df.join(F.broadcast(table) if small else table, on, "left")
+    """Left lookup with fall-backs; whether the table is broadcast is for adaptive execution to say, by its size."""
+    out = df.join(table, on, "left")
     for name, value in (default or {}).items():
         out = out.withColumn(name, F.coalesce(F.col(name), value))
     return out

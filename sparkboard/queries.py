@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import dates, entities, numbers, risk, text
 from .functions.formula import compile_formula
-from .operators import classify, lookup, reports, retrieval
-from .plans import resolve
+from .operators import classify, knowledge, lookup, reports, retrieval
+from .plans import request, resolve
 from .plans.oplog import live_rows, undone
 from .plans.profile import auto_board, profile
 from .plans.spec import Chart, Filter, Kpi
@@ -96,8 +96,8 @@ query("calc_formula", "lineitem", "SELECT l_orderkey, l_linenumber, round(l_exte
     lambda t: t.select("l_orderkey", "l_linenumber", F.round(compile_formula("PRICE * (1 - D) * (1 + T) + min(Q, 10) ^ 2", {"PRICE": F.col("l_extendedprice"), "D": F.col("l_discount"), "T": F.col("l_tax"), "Q": F.col("l_quantity")}), 6).alias("charge"))
 )
 query("calc_precedence", "part", "SELECT p_partkey, CAST(pow(-CAST(p_size AS DOUBLE), 2) AS DOUBLE) AS squared, CAST(p_size % 7 AS DOUBLE) AS rest FROM part")(lambda t: t.select("p_partkey", compile_formula("-s ^ 2", {"s": F.col("p_size")}).alias("squared"), compile_formula("s % 7", {"s": F.col("p_size")}).alias("rest")))
-query("table_search", "customer", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR contains(CAST(c_custkey AS VARCHAR), '00012') OR contains(lower(c_mktsegment), '00012') OR contains(CAST(c_nationkey AS VARCHAR), '00012')")(lambda t: resolve.search(t.drop("c_acctbal"), "00012").select("c_custkey"))
-query("table_sort", "part", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name, p_partkey LIMIT 50")(lambda t: t.orderBy(*resolve.sort_keys(t, "p_name", day(AS_OF)), "p_partkey").select("p_partkey", "p_name"))
+query("table_search", "customer", "SELECT c_custkey FROM customer WHERE contains(lower(c_name), '00012') OR contains(CAST(c_custkey AS VARCHAR), '00012') OR contains(lower(c_mktsegment), '00012') OR contains(CAST(c_nationkey AS VARCHAR), '00012') OR contains(CAST(c_acctbal AS VARCHAR), '00012')")(lambda t: resolve.search(t, "00012").select("c_custkey"))
+query("table_sort", "part", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_name, p_partkey")(lambda t: t.orderBy(*resolve.sort_keys(t, "p_name", day(AS_OF)), "p_partkey").select("p_partkey", "p_name"))
 query("table_page", "customer", "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 200 OFFSET 100")(lambda t: resolve.page(t, [F.desc("c_acctbal"), F.asc("c_custkey")], 1).select("c_custkey", two("c_acctbal").alias("c_acctbal")))
 query("timeline40", "events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 40")(lambda t: resolve.timeline(t, "ts", ["event_id"]).select("event_id", "event_type"))
 query("checklist_ratio", "orders", "SELECT count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS total FROM orders")(lambda t: resolve.checklist(t, F.col("o_orderstatus") == "F"))
@@ -109,7 +109,7 @@ query("cell_dates", "orders", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%
 
 query("profile_numeric", "customer", "SELECT 'c_acctbal' AS name, count(c_acctbal) AS filled, round(sum(c_acctbal), 0) AS total, round(min(c_acctbal), 2) AS low, round(max(c_acctbal), 2) AS high FROM customer")(lambda t: profile(t, day(AS_OF)).where("name = 'c_acctbal'").select("name", "filled", F.round("sum", 0).alias("total"), two("min").alias("low"), two("max").alias("high")))
 query("profile_distinct", "part", "SELECT 'p_brand' AS name, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'p_type', count(DISTINCT p_type) FROM part UNION ALL SELECT 'p_size', count(DISTINCT p_size) FROM part")(lambda t: profile(t.select("p_brand", "p_type", "p_size"), day(AS_OF)).select("name", F.col("unique").alias("n")))
-query("profile_types", "events", "SELECT * FROM (VALUES ('event_id', 'number'), ('ts', 'date'), ('user_id', 'number'), ('event_type', 'category'), ('value', 'number')) t(name, type)")(lambda t: profile(t.drop("props"), day(AS_OF)).select("name", "type"))
+query("profile_types", "events", "SELECT * FROM (VALUES ('event_id', 'number'), ('ts', 'date'), ('user_id', 'number'), ('event_type', 'category'), ('value', 'number'), ('props', 'text')) t(name, type)")(lambda t: profile(t, day(AS_OF)).select("name", "type"))
 
 
 @query("auto_board", "orders")
@@ -142,7 +142,7 @@ query("join_fuzzy_vocab", "part", "WITH v AS (SELECT DISTINCT unnest(string_spli
     lambda t: (lambda v: retrieval.expand_terms(v.where(F.length("token") >= 6).select(F.col("token").alias("query"), F.concat(F.substring("token", 1, 1), F.substring("token", 3, 99)).alias("token")), v.withColumn("df", F.lit(1))))(t.select(F.explode(F.split(F.lower("p_name"), " ")).alias("token")).distinct())
 )
 query("join_coverage", "documents benchmark", f"WITH d AS (SELECT DISTINCT * FROM ({_DOC_WORDS})), q AS (SELECT DISTINCT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1) SELECT q.item_id, d.doc_id, round(count(*) / max(n.n), 6) AS coverage FROM q JOIN d USING (token) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) / max(n.n) >= 0.8")(
-    lambda d, b: (lambda p, q: p.join(q, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("h"), F.first("n").alias("n")).select("item_id", "doc_id", F.round(F.col("h") / F.col("n"), 6).alias("coverage")).where("coverage >= 0.8"))(d.select("doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")), b.withColumn("w", F.array_distinct(text.words(F.col("text")))).select("item_id", F.size("w").alias("n"), F.explode("w").alias("token")))
+    lambda d, b: lookup.covered(b.select("item_id", text.words(F.col("text")).alias("w")), "item_id", "w", d.select("doc_id", text.words(F.col("text")).alias("w")), "doc_id", "w").select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), F.round("coverage", 6).alias("coverage"))
 )
 query("dictionary_hits", "documents", f"WITH w AS ({_DOC_WORDS}) SELECT doc_id AS doc, token AS term, count(*) AS hits FROM w WHERE token IN ('the', 'and', 'que', 'der', 'los') GROUP BY 1, 2")(lambda t: lookup.dictionary_hits(t, "doc_id", "text", t.sparkSession.createDataFrame([(x,) for x in ("the", "and", "que", "der", "los")], "term string"), "term", 1))
 
@@ -165,17 +165,20 @@ query("counters_by_type", "events", "SELECT event_type, count(*) AS n FROM event
 query("tf", "benchmark", f"SELECT item_id AS doc, token, count(*) AS tf FROM (SELECT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark) GROUP BY 1, 2")(lambda t: retrieval.build_index(t, "item_id", "text", stems=False).postings.select("doc", "token", "tf"))
 query("df", "documents", f"SELECT token, count(DISTINCT doc_id) AS df FROM ({_DOC_WORDS}) GROUP BY 1")(lambda t: retrieval.build_index(t, "doc_id", "text", stems=False).vocabulary)
 _BM25 = f"""WITH t AS (SELECT doc_id, token FROM ({_DOC_WORDS})), p AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT d.doc_id, greatest(count(t.token), 1) AS len FROM documents d LEFT JOIN t USING (doc_id) GROUP BY 1), g AS (SELECT count(*) AS n, avg(len) AS m FROM l), v AS (SELECT token, count(*) AS df FROM p GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark WHERE item_id < 10), k AS (SELECT q.* FROM q JOIN v USING (token)), c AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS.format(t=_NORM.format(c='text'))}) AS token FROM benchmark), k AS (SELECT q.* FROM q JOIN v USING (token)), c AS (SELECT item_id, count(*) AS n FROM k GROUP BY 1),
 s AS (SELECT k.item_id AS query, p.doc_id AS doc, sum(ln(1 + (g.n - v.df + 0.5) / (v.df + 0.5)) * p.tf * 2.4 / (p.tf + 1.4 * (0.28 + 0.72 * l.len / g.m))) AS score, count(*) AS hit FROM k JOIN p USING (token) JOIN v USING (token) JOIN l ON l.doc_id = p.doc_id, g GROUP BY 1, 2)
 SELECT query, doc, round(score, 6) AS score, round(hit / c.n, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS r FROM s WHERE score > 0.01) x JOIN c ON c.item_id = x.query WHERE r <= 5"""
 
 
 def _bm25(d: DataFrame, b: DataFrame) -> DataFrame:
-    found = retrieval.bm25(retrieval.build_index(d, "doc_id", "text", stems=False), b, "item_id", "text", k=None, fuzzy=False, stems=False)
+    asked = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token"))
+    index = retrieval.build_index(d, "doc_id", "text", stems=False, only=asked.select("token").distinct())
+    index.postings.cache()  # read three times: for postings, document frequencies and known words
+    found = retrieval.bm25(index, b, "item_id", "text", k=None, fuzzy=False, stems=False)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
-    size = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token")).join(retrieval.build_index(d, "doc_id", "text", stems=False).vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
-    full = b.select(F.col("item_id").alias("query"), F.size(F.array_distinct(text.words(F.col("text")))).alias("all"))
-    return found.withColumn("r", rank).where("r <= 5").join(size, "query").join(full, "query").select("query", "doc", F.round("score", 6).alias("score"), F.round(F.col("coverage") * F.col("all") / F.col("known"), 6).alias("coverage"))
+    known = asked.join(index.vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
+    full = asked.groupBy("query").agg(F.count("*").alias("all"))
+    return found.withColumn("r", rank).where("r <= 5").join(known, "query").join(full, "query").select("query", "doc", F.round("score", 6).alias("score"), F.round(F.col("coverage") * F.col("all") / F.col("known"), 6).alias("coverage"))
 
 
 query("bm25_top", "documents benchmark", _BM25)(_bm25)
@@ -206,14 +209,15 @@ query("recency_bucket", "orders", "SELECT b, count(*) AS n FROM (SELECT CASE WHE
 query("entities_emails", "documents", r"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.-]+'))) AS found FROM documents WHERE contains(text, '@')")(lambda t: t.where(F.contains("text", F.lit("@"))).select("doc_id", F.array_sort(entities.entities(F.col("text"), "emails")).alias("found")))
 query("entities_numbers", "documents", r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{1,3}(?:[.,][0-9]+)? ?%'))) AS n FROM documents")(lambda t: t.select("doc_id", F.size(entities.found(F.col("text"), r"[0-9]{1,3}(?:[.,][0-9]+)? ?%")).cast("long").alias("n")))
 query("entities_all", "documents")(lambda t: t.select("doc_id", *[entities.entities(F.col("text"), k).alias(k) for k in entities.PATTERNS], entities.norm_ids(F.col("text")).alias("norms"), entities.certificate_ids(F.col("text")).alias("certificates")))
-query("text_quality", "documents", r"SELECT doc_id, round(len(regexp_extract_all(substr(text, 1, 6000), '[A-Za-zÀ-ÿ0-9\s.,;:!?()\-/%]')) / greatest(len(substr(text, 1, 6000)), 1), 6) AS q FROM documents")(lambda t: t.select("doc_id", F.round(text.text_quality(F.col("text")), 6).alias("q")))
+query("text_quality", "documents", r"SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-zÀ-ÿ0-9\s.,;:!?()\-/%]')) / greatest(len(text), 1), 6) AS q FROM documents")(lambda t: t.select("doc_id", F.round(text.text_quality(F.col("text")), 6).alias("q")))
 
 # ---- classification and risk -------------------------------------------------------------
 
 _TYPES = (classify.DocType("english", ("the", "and", "of"), ("licensed under",)), classify.DocType("german", ("der", "und", "die")), classify.DocType("french", ("le", "et", "les")), classify.DocType("spanish", ("los", "y", "que")))
 _COUNT = "least(4, len(regexp_extract_all(t, '\\b{k}\\b')))"
 query("doc_type_score", "documents", "WITH d AS (SELECT doc_id, ' ' || " + _NORM.format(c="text") + " || ' ' AS t, " + _NORM.format(c="substr(text, 1, 1500)") + " AS h FROM documents) " + " UNION ALL ".join(f"SELECT doc_id AS doc, '{x.name}' AS type, ({' + '.join(_COUNT.format(k=k) for k in x.keywords)}{''.join(f''' + CASE WHEN contains(h, '{s}') THEN 12 WHEN contains(t, '{s}') THEN 5 ELSE 0 END''' for s in x.strong)})::INT AS score FROM d" for x in _TYPES))(lambda t: classify.doc_type_scores(t, "doc_id", "text", _TYPES))
-query("doc_type", "documents")(lambda t: classify.doc_type(classify.doc_type_scores(t, "doc_id", "text", _TYPES), [x.name for x in _TYPES]))
+_RANK = ", ".join(f"'{x.name}'" for x in _TYPES)
+query("doc_type", "documents", f"WITH s AS ({ORACLE_SQL['doc_type_score']}) SELECT doc, CASE WHEN score < 5 THEN 'documento' ELSE type END AS type, score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, list_position([{_RANK}], type)) AS r FROM s) WHERE r = 1")(lambda t: classify.doc_type(classify.doc_type_scores(t, "doc_id", "text", _TYPES), [x.name for x in _TYPES]))
 query("intent_rules", "conversations")(lambda t: t.select("conv_id", "turn", classify.intent(F.col("text")).alias("intent"), classify.wanted_format(F.col("text")).alias("format")))
 query("risk_matrix", "part", "SELECT p_partkey, CASE WHEN p * s >= 20 THEN 'Crítico' WHEN p * s >= 10 THEN 'Alto' WHEN p * s >= 5 THEN 'Moderado' ELSE 'Baixo' END AS level, greatest(1, p - CASE WHEN s >= 5 THEN 2 ELSE 1 END)::INT AS residual FROM (SELECT p_partkey, p_size % 5 + 1 AS p, p_size // 5 % 5 + 1 AS s FROM part)")(
     lambda t: (lambda p, s: t.select("p_partkey", risk.risk_level(p, s).alias("level"), risk.residual_probability(p, s).cast("int").alias("residual")))(F.col("p_size") % 5 + 1, F.floor(F.col("p_size") / 5) % 5 + 1)
@@ -236,6 +240,14 @@ query("report_procedure", "part")(lambda t: reports.procedure(_hazards(t)))
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches({_NORM.format(c='h.hazard')}, '{r.pattern}') THEN '{r.result}'" for r in reports.HAZARD_CLASSES) + " ELSE 'acidente' END"
 query("report_inventory", "part", f"SELECT h.activity, h.hazard, {_KIND} AS kind, CASE WHEN p * s >= 20 THEN 'Crítico' WHEN p * s >= 10 THEN 'Alto' WHEN p * s >= 5 THEN 'Moderado' ELSE 'Baixo' END AS level FROM {_HAZARDS} h JOIN (SELECT DISTINCT p_brand AS activity FROM part) a ON a.activity = h.activity")(lambda t: reports.inventory(t.select(F.col("p_brand").alias("activity")).distinct(), _hazards(t)))
 
+_ACTIVITIES = (("english", ("the", "and")), ("french", ("les", "est")), ("german", ("der", "und")), ("spanish", ("los", "que")))
+_FOUND = " UNION ALL ".join(f"SELECT doc, '{a}' AS activity, greatest({', '.join(f"CASE WHEN contains(t, ' {w} ') THEN {len(w)} ELSE 0 END" for w in terms)}) AS score FROM p" for a, terms in _ACTIVITIES)
+query("activities_found", "documents", f"WITH p AS (SELECT doc_id AS doc, ' ' || trim(regexp_replace({_NORM.format(c='text')}, '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents), f AS ({_FOUND}), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, activity) AS rank, max(score) OVER (PARTITION BY doc) AS top FROM f WHERE score > 0) SELECT doc, rank::INT AS rank, activity, score::INT AS score FROM r WHERE (rank = 1 OR score >= least(6, top * 0.5)) AND rank <= 3")(
+    lambda t: knowledge.find_activities(t, "doc_id", "text", t.sparkSession.createDataFrame([(a, "activity of " + a, list(w)) for a, w in _ACTIVITIES], "activity string, name string, terms array<string>"))
+)
+query("dates_found", "documents")(lambda t: t.select("doc_id", F.explode(entities.dates_in(F.col("text"), day(AS_OF))).alias("d")).select("doc_id", "d.date", "d.raw", "d.context"))
+query("widgets_asked", "conversations")(lambda t: t.select("conv_id", "turn", request.widget(F.col("text"), day(AS_OF)).alias("w")).select("conv_id", "turn", "w.type", "w.kind", "w.by", "w.value"))
+
 # ---- web pages ---------------------------------------------------------------------------
 
 query("html_main", "pages")(lambda t: web.main_content(t, "page_id", "html"))

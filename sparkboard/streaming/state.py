@@ -63,8 +63,21 @@ def latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
 
 
 def overwrite_dataset(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a source refresh that replaces a dataset as a whole."""
-    return lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    """For foreachBatch: a source refresh that replaces a dataset as a whole.
+
+    Each batch is a version of its own, so a run that breaks off between two steps
+    leaves the version before it; ``newest_dataset`` reads the last one that is complete.
+    """
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+
+def newest_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of a dataset that ``overwrite_dataset`` keeps."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [x.getPath().getName() for x in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(done, key=lambda name: int(name.partition('=')[2]))}")
 
 
 def learn(state: DataFrame, phrases: DataFrame, least: float = 0.85, most: int = 300) -> DataFrame:
