@@ -86,6 +86,32 @@ def escaped(c: Column) -> Column:
     return c
 
 
+#: The quotes, blanks and marks that are stripped from names, and the separators of lists.
+def clean_name(c: Column) -> Column:
+    """Without quotes and blanks around and marks behind, white space as single blanks; null is empty."""
+    ends = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\"“'«]+|[\s\"”'».,;:!?]+$", "")
+    return F.trim(F.regexp_replace(ends, r"\s+", " "))
+
+
+def quoted(c: Column) -> Column:
+    """The first text of 2 to 60 characters within quotes, else null."""
+    return F.nullif(F.trim(F.regexp_extract(c, r"[\"“'«]([^\"”'»]{2,60})[\"”'»]", 1)), F.lit(""))
+
+
+def split_list(c: Column) -> Column:
+    """Names separated by commas, semicolons, line breaks or the word e; names of 50 characters or more are none."""
+    names = F.transform(F.split(F.coalesce(c, F.lit("")), r"\s*(?:[,;\n]|\se\s)\s*"), clean_name)
+    return F.filter(names, lambda x: (x != "") & (F.length(x) < 50))
+
+
+def highlighted(c: Column, query: Column) -> Column:
+    """The text with every word of three characters or more in bold whose stem the query has."""
+    wanted = F.transform(content_words(query), stem)
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)[A-Za-zÀ-ÿ0-9-]{3,}|."), F.lit(0))
+    hit = lambda w: (F.length(w) >= 3) & F.array_contains(wanted, stem(norm(w)))
+    return F.array_join(F.transform(parts, lambda w: F.when(hit(w), F.concat(F.lit("**"), w, F.lit("**"))).otherwise(w)), "")
+
+
 def words(c: Column) -> Column:
     """Folded words, hyphenated ones whole."""
     return F.regexp_extract_all(norm(c), F.lit("[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))

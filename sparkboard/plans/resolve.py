@@ -11,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import date, month_key, month_label, validity
@@ -124,6 +124,16 @@ def kpi(df: DataFrame, rule: Kpi, as_of: Column | None = None) -> DataFrame:
     return rows.agg(aggregate(v).alias("value"))
 
 
+def fixed_kpi(spark: SparkSession, value: float | None, unit: str | None = None, delta: float | None = None) -> DataFrame:
+    """One row of a KPI that names no dataset: value, unit, delta as they were given."""
+    return spark.range(1).select(F.lit(value).cast("double").alias("value"), F.lit(unit).cast("string").alias("unit"), F.lit(delta).cast("double").alias("delta"))
+
+
+def bar_kind(groups: DataFrame) -> DataFrame:
+    """One row, kind: bars lie (hbar) if there are more than 8 labels and one has more than 10 characters."""
+    return groups.agg(F.when((F.count("*") > 8) & (F.max(F.length("label")) > 10), "hbar").otherwise("bar").alias("kind"))
+
+
 def kpis(df: DataFrame, rules: dict[str, Kpi], as_of: Column | None = None) -> DataFrame:
     """Many KPIs over one dataset in a single scan: one row, a column for each name."""
     columns = []
@@ -218,7 +228,7 @@ def chart(df: DataFrame, rule: Chart, as_of: Column | None = None) -> DataFrame:
     return raw_chart(df, rule) if rule.agg == "none" else grouped(df, rule, as_of)
 
 
-def fixed_chart(spark, rule: Chart) -> DataFrame:
+def fixed_chart(spark: SparkSession, rule: Chart) -> DataFrame:
     """Literal labels and series as rows."""
     rows = [(label, *[float(s[k]) if k < len(s) else 0.0 for _, s in rule.series], k + 1) for k, label in enumerate(rule.labels)]
     return spark.createDataFrame(rows, ", ".join(["label string", *[f"v{k} double" for k in range(1, len(rule.series) + 1)], "position int"]))

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import dates, entities, numbers, risk, text
 from .functions.formula import compile_formula
-from .operators import classify, knowledge, lookup, reports, retrieval
-from .plans import request, resolve
+from .operators import classify, knowledge, lookup, memory, reports, retrieval
+from .plans import edit, request, resolve
 from .plans.oplog import live_rows, undone
 from .plans.profile import auto_board, profile
 from .plans.spec import Chart, Filter, Kpi
-from .sources import web
+from .sources import sinks, web
 from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,7 +236,7 @@ _HAZARDS = "(SELECT p_brand AS activity, p_type AS stage, p_name || ' ' || p_par
 query("report_analysis", "part", f"SELECT hazard, (p * s)::INT AS score, (greatest(1, p - CASE WHEN s >= 5 THEN 2 ELSE 1 END) * s)::INT AS residual FROM {_HAZARDS} WHERE p * s >= 10")(lambda t: reports.risk_analysis(_hazards(t), short=True).select("hazard", F.col("score").cast("int").alias("score"), F.col("residual").cast("int").alias("residual")))
 query("report_permit", "part", f"SELECT activity, hazard, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 8) WHERE r <= 8")(lambda t: reports.top_hazards(_hazards(t), 8, 8).select("activity", "hazard", "rank"))
 query("report_plan", "part", f"SELECT activity, hazard, r::INT AS rank, CASE WHEN p * s >= 20 THEN 1 ELSE 7 END AS days FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY p * s DESC, hazard) AS r FROM {_HAZARDS} WHERE p * s >= 10) WHERE r <= 10")(lambda t: reports.action_plan(_hazards(t)).select("activity", "hazard", "rank", "days"))
-query("report_procedure", "part")(lambda t: reports.procedure(_hazards(t)))
+query("report_procedure", "part", "WITH e AS (SELECT p_brand AS activity, p_type AS stage, (p_size % 5 + 1) * (p_size // 5 % 5 + 1) AS score, unnest(string_split(p_name, ' ')) AS control, unnest(range(len(string_split(p_name, ' ')))) AS k FROM part), b AS (SELECT *, row_number() OVER (PARTITION BY activity, stage, control ORDER BY score DESC, k) AS r FROM e), f AS (SELECT activity, stage, control, row_number() OVER (PARTITION BY activity, stage ORDER BY score DESC, k, control) AS position FROM b WHERE r = 1) SELECT activity, stage, position::INT AS position, control FROM f WHERE position <= 3")(lambda t: reports.procedure(_hazards(t)))
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches({_NORM.format(c='h.hazard')}, '{r.pattern}') THEN '{r.result}'" for r in reports.HAZARD_CLASSES) + " ELSE 'acidente' END"
 query("report_inventory", "part", f"SELECT h.activity, h.hazard, {_KIND} AS kind, CASE WHEN p * s >= 20 THEN 'Crítico' WHEN p * s >= 10 THEN 'Alto' WHEN p * s >= 5 THEN 'Moderado' ELSE 'Baixo' END AS level FROM {_HAZARDS} h JOIN (SELECT DISTINCT p_brand AS activity FROM part) a ON a.activity = h.activity")(lambda t: reports.inventory(t.select(F.col("p_brand").alias("activity")).distinct(), _hazards(t)))
 
@@ -260,3 +260,21 @@ query("stream_tumbling", "events", "SELECT date_trunc('day', ts) AS start, event
 query("stream_sliding", "events", "SELECT s AS start, s + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM (SELECT ts, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 5 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS s FROM events) GROUP BY 1")(state.sliding)
 query("stream_session", "events", "WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")(state.sessions)
 query("stream_dedup", "events", "SELECT event_id FROM events GROUP BY 1")(lambda t: state.without_repeats(t).select("event_id"))
+
+# ---- memory, changes, refreshes, exports --------------------------------------------------
+
+query("kpi_fixed", "region", "SELECT 42.5::DOUBLE AS value, 'dias' AS unit, -1.5::DOUBLE AS delta")(lambda t: resolve.fixed_kpi(t.sparkSession, 42.5, "dias", -1.5))
+query("bar_kind", "part", "SELECT CASE WHEN count(*) > 8 AND max(len(label)) > 10 THEN 'hbar' ELSE 'bar' END AS kind FROM (SELECT DISTINCT p_type AS label FROM part)")(lambda t: resolve.bar_kind(t.groupBy(F.col("p_type").alias("label")).agg(F.count("*").alias("v1"))))
+query("refreshed_rows", "nation customer", 'SELECT n_name AS dataset, c_custkey AS "row", c_name AS name, c_mktsegment AS segment, \'\' AS lacking FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_custkey > 0')(
+    lambda n, c: web.refreshed_rows(n.select(F.col("n_name").alias("dataset"), F.col("n_nationkey").alias("source"), F.lit(0).alias("tbl"), F.lit(3).alias("width")), c.select(F.col("c_nationkey").alias("source"), F.lit(0).alias("tbl"), F.col("c_custkey").alias("row"), F.array("c_name", "c_mktsegment").alias("cells"))).select("dataset", "row", *[F.col("cells")[k].alias(x) for k, x in enumerate(("name", "segment", "lacking"))])
+)
+query("preferred", "events", "SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) WHERE r = 1 AND n >= 2")(lambda t: memory.preferred(t, "user_id", "event_type"))
+query("preferred_detail", "events", "SELECT user_id, CASE WHEN s >= 3 AND s > f * 1.5 THEN 'view' WHEN f >= 3 AND f > s * 1.5 THEN 'click' END AS event_type FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS s, count(*) FILTER (event_type = 'click') AS f FROM events GROUP BY 1)")(lambda t: memory.preferred_detail(t, "user_id", "event_type", "view", "click"))
+_SAID = _WORDS.format(t=_NORM.format(c="text"))
+query("disliked", "conversations", f"WITH a AS (SELECT conv_id, turn, role, list_distinct({_SAID}) AS w FROM conversations), n AS (SELECT role, list_distinct({_SAID}) AS b FROM (SELECT * FROM conversations ORDER BY turn DESC, text, role LIMIT 200)) SELECT conv_id, turn FROM a WHERE EXISTS (SELECT 1 FROM n WHERE n.role = a.role AND len(list_intersect(a.w, n.b)) > 0.8 * (len(a.w) + len(n.b) - len(list_intersect(a.w, n.b))))")(
+    lambda t: memory.disliked(t.withColumnRenamed("role", "intent"), t.select(F.col("role").alias("intent"), "text", F.col("turn").alias("at"))).select("conv_id", "turn")
+)
+query("facts_recalled", "benchmark conversations")(lambda b, c: memory.recalled(b, "item_id", "text", c.select(F.concat_ws("-", "conv_id", "turn").alias("said"), "text"), "said", "text"))
+query("edits_asked", "conversations")(lambda t: t.select("conv_id", "turn", edit.edit(F.col("text")).alias("e")).select("conv_id", "turn", "e.*"))
+query("conversation_markdown", "conversations", "SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn, line) AS markdown FROM (SELECT conv_id, turn, '## ' || coalesce(role, '?') || chr(10) || chr(10) || coalesce(text, '') AS line FROM conversations) GROUP BY 1")(sinks.conversation_markdown)
+query("state_round_trip", "customer", "SELECT c_custkey, c_name, c_mktsegment, 'pt' AS language FROM customer")(lambda t: sinks.import_state(sinks.export_state(t.select("c_custkey", "c_name", "c_mktsegment")), "c_custkey long, c_name string, c_mktsegment string, language string", {"language": "pt"}))

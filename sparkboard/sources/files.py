@@ -278,6 +278,28 @@ def read_exif(raw: bytes) -> dict[str, str]:
     return meta
 
 
+def read_archive(raw: bytes, limit: int) -> tuple[str, list[Table], list[str]]:
+    """(names of all members and then the text of each, tables named after their member, warnings).
+
+    Members are read as files of their own up to ``limit`` bytes unpacked in all; the
+    rest, and archives within the archive, are named and told of, but not unpacked.
+    """
+    texts, tables, warnings, left = [], [], [], limit
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        members = [m for m in z.infolist() if not m.is_dir()]
+        names = "\n".join(m.filename for m in members)
+        for m in members:
+            if m.file_size > left or KINDS.get(posixpath.splitext(m.filename)[1].lower().lstrip(".")) == "zip":
+                warnings.append(f"{m.filename}: not unpacked")
+                continue
+            left -= m.file_size
+            _, _, text, own, _, told = read_file(m.filename, z.read(m), limit=limit)
+            texts += [f"{m.filename}\n{text}"] if text else []
+            tables += [(f"{m.filename} {name}".strip(), rows) for name, rows in own]
+            warnings += [f"{m.filename}: {w}" for w in told]
+    return "\n\n".join([names, *texts]), tables, warnings
+
+
 def read_file(path: str, raw: bytes, mime: str = "", limit: int = 40 << 20) -> tuple[str, str, str, list[Table], dict[str, str], list[str]]:
     """(path, kind, text, tables, meta, warnings) of a file of up to ``limit`` bytes."""
     kind = KINDS.get(posixpath.splitext(path)[1].lower().lstrip(".")) or MIMES.get(mime.split(";")[0].strip().lower(), "unknown")
@@ -316,8 +338,7 @@ def read_file(path: str, raw: bytes, mime: str = "", limit: int = 40 << 20) -> t
         elif kind == "image":
             meta = read_exif(raw)
         elif kind == "zip":
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                text = "\n".join(z.namelist())
+            text, tables, warnings = read_archive(raw, limit)
         elif kind == "text":
             text = decode(raw)
         else:

@@ -182,6 +182,18 @@ def tables(pages: DataFrame, key: str, page: str) -> DataFrame:
     return _rows(pages, key, page, lambda t: [(k, name, r, cells) for k, (name, rows) in enumerate(page_tables(t)) for r, cells in enumerate(rows)], "tbl int, name string, row int, cells array<string>", ["tbl", "name", "row", "cells"])
 
 
+def refreshed_rows(datasets: DataFrame, source_rows: DataFrame) -> DataFrame:
+    """(dataset, row, cells): the rows that datasets take from the tables of freshly read sources.
+
+    ``datasets`` has dataset, source, tbl and width, the number of its columns; ``source_rows``
+    has source, tbl, row and cells, row 0 being the head. Cells go by position: what a row
+    lacks is empty, what it has beyond the width is left out.
+    """
+    cells = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    found = datasets.where("width > 0").select("dataset", "source", "tbl", "width").join(source_rows.where("row > 0"), ["source", "tbl"])
+    return found.select("dataset", "row", cells.alias("cells"))
+
+
 def content_kind(content_type: Column, head: Column) -> Column:
     """json, feed, csv, markdown or html of a fetched text."""
     t, h = F.lower(F.coalesce(content_type, F.lit(""))), F.ltrim(F.coalesce(head, F.lit("")))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -44,22 +45,33 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "2 hou
 def upsert_into(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps the latest row of each key in a Parquet table of versions.
 
-    Each batch writes path/v=<batch>, so a batch that runs again writes the same
+    Each batch writes path/upsert_batch=<batch>, so a batch that runs again writes the same
     version anew; readers take ``latest``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v={number}")
+        newest.write.mode("overwrite").parquet(f"{path}/upsert_batch={number}")
 
     return write
 
 
-def latest(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
-    """The present state of an upserted table."""
+def latest(spark: SparkSession, path: str, key: str, order: str, deleted: str | None = None) -> DataFrame:
+    """The present state of an upserted table, without keys whose latest row has ``deleted`` set."""
     versions = spark.read.parquet(path)
-    newest = versions.groupBy(key).agg(F.max_by(F.struct(*versions.columns), F.struct(order, "v")).alias("r"))
-    return newest.select("r.*").drop("v")
+    newest = versions.groupBy(key).agg(F.max_by(F.struct(*versions.columns), F.struct(order, "upsert_batch")).alias("r"))
+    rows = newest.select("r.*").drop("upsert_batch")
+    return rows if deleted is None else rows.where(~F.coalesce(deleted, F.lit(False))).drop(deleted)
+
+
+def deletions(keys: DataFrame, key: str, order: str, at: Column, schema: StructType, deleted: str = "deleted") -> DataFrame:
+    """Rows for ``upsert_into`` that delete keys: key, order and ``deleted`` are set, all else is null.
+
+    ``schema`` is that of the table with its ``deleted`` column. All keys of the table
+    given, the table is cleared.
+    """
+    given = {key: F.col(key), order: at, deleted: F.lit(True)}
+    return keys.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def overwrite_dataset(path: str) -> Callable[[DataFrame, int], None]:
