@@ -171,14 +171,8 @@ SELECT query, doc, round(score, 6) AS score, round(hit / c.n, 6) AS coverage FRO
 
 
 def _bm25(d: DataFrame, b: DataFrame) -> DataFrame:
-    asked = b.select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.words(F.col("text")))).alias("token"))
-    index = retrieval.build_index(d, "doc_id", "text", stems=False, only=asked.select("token").distinct())
-    index.postings.cache()  # read three times: for postings, document frequencies and known words
-    found = retrieval.bm25(index, b, "item_id", "text", k=None, fuzzy=False, stems=False)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
-    known = asked.join(index.vocabulary, "token").groupBy("query").agg(F.count("*").alias("known"))
-    full = asked.groupBy("query").agg(F.count("*").alias("all"))
-    return found.withColumn("r", rank).where("r <= 5").join(known, "query").join(full, "query").select("query", "doc", F.round("score", 6).alias("score"), F.round(F.col("coverage") * F.col("all") / F.col("known"), 6).alias("coverage"))
+    found = retrieval.bm25_best(d, "doc_id", "text", b, "item_id", "text", k=5)
+    return found.select("query", "doc", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
 query("bm25_top", "documents benchmark", _BM25)(_bm25)

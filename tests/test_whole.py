@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from sparkboard.functions import entities
+from sparkboard.operators import retrieval
 from sparkboard.queries import QUERIES
 
 
@@ -62,3 +63,20 @@ def test_table_sort_returns_every_row_in_order(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = [tuple(r) for r in QUERIES["table_sort"](spark, str(tmp_path)).collect()]
     assert got == sorted(rows, key=lambda r: (r[1].lower(), r[1], r[0]))
+
+
+def test_bm25_best_scores_documents_where_they_lie(spark, monkeypatch):
+    texts = [(d, None if d % 17 == 0 else "" if d % 19 == 0 else " ".join(f"w{(d * k) % 29}" for k in range(1, 3 + d % 7))) for d in range(200)]
+    items = [(i, f"w{i % 31} w{(i * 3) % 29} Zz{i}") for i in range(20)] + [(3, "w7"), (90, None), (None, "w1"), (91, "never")]
+    docs = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    asked = spark.createDataFrame(items, "q long, t string")
+    rows = lambda: [(r["query"], r.doc, round(r.score, 9), round(r.coverage, 9), r["rank"]) for r in retrieval.bm25_best(docs, "id", "t", asked, "q", "t", k=4).collect()]
+    scanned = rows()
+    monkeypatch.setattr(retrieval, "HITS", 50)  # blocks of a document or two
+    assert sorted(rows()) == sorted(scanned)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 10)  # the query set counts as large and is joined to an index
+    assert sorted(rows()) == sorted(scanned)
+    assert max(r[4] for r in scanned) == 4 and {r[0] for r in scanned} == set(range(20))
+    empty = docs.where("id < 0")
+    assert retrieval.bm25_best(empty, "id", "t", asked, "q", "t").count() == 0
+    assert retrieval.bm25_best(docs, "id", "t", asked.where("q < 0"), "q", "t").count() == 0
