@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to its whole table."""
+"""The queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import chat_windows, digests, with_marks
 from .decontaminate import contamination
 from .embedding_dedup import embedding_groups
 from .html_text import extract_pages
 from .language_id import identify
 from .license_scan import oracle as license_oracle
 from .license_scan import scan_licenses
+from .merkle import documents_manifest
 from .minhash_dedup import near_duplicates
 from .mixing import mixed
+from .resample import resampled
 from .sharding import shard_plan
 from .substring_dedup import remove_repeats
 from .url_filter import ORACLE as URL_ORACLE
@@ -83,6 +86,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(example_captures(pages), example_list(pages))
 
 
+@_query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_manifest(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=25, least=20, seed=7, buckets=10_000)
+
+
+@_query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(chat_windows(with_marks(_table(spark, sf_dir, "conversations")), budget=1024, history=256))
+
+
 ORACLE_SQL["op8_license_scan"] = license_oracle()
 ORACLE_SQL["op10_url_filter"] = URL_ORACLE
 ORACLE_SQL["op9_substring_dedup"] = r"""

@@ -2,53 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-_kept: list[tuple[SparkSession, str]] = []
+from ..scratch import drop_written, shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the cluster names none, as in local tests, is a folder of this
-    machine taken; it is used with a local master alone.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _forget() -> None:
-    for spark, path in _kept:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session has ended
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: it cuts the
-    lineage, outlives executors, and is computed once. Removed as the driver ends."""
-    spark = df.sparkSession
-    if not _kept:
-        atexit.register(_forget)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _kept.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+__all__ = ["components", "drop_written", "free_name", "input_bytes", "shared_folder", "small_batches", "small_table", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
