@@ -16,6 +16,7 @@ from .license_scan import scan_licenses
 from .merkle import documents_manifest
 from .minhash_dedup import near_duplicates
 from .mixing import mixed
+from .oracles import CHAT, MERKLE, RESAMPLE
 from .resample import resampled
 from .sharding import shard_plan
 from .substring_dedup import remove_repeats
@@ -101,6 +102,9 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(chat_windows(with_marks(_table(spark, sf_dir, "conversations")), budget=1024, history=256))
 
 
+ORACLE_SQL["op11_merkle_manifest"] = MERKLE
+ORACLE_SQL["op12_importance_resampling"] = RESAMPLE
+ORACLE_SQL["op13_chat_format"] = CHAT
 ORACLE_SQL["op8_license_scan"] = license_oracle()
 ORACLE_SQL["op10_url_filter"] = URL_ORACLE
 ORACLE_SQL["op9_substring_dedup"] = r"""
