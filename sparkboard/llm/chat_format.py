@@ -69,8 +69,10 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     rows = rows.select("conv_id", "turn", "role", F.xxhash64("role", "raw").alias("tie"), head.alias("head"), escaped(F.col("raw")).alias("body"))
     rows = rows.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     sizes = [F.length("head").alias("head"), F.length("body").alias("body"), F.length("piece").alias("chars")]
-    rows = rows.select("conv_id", "turn", "role", "tie", "piece", *sizes, F.greatest(tokens(F.col("piece")), F.lit(1)).cast("long").alias("tokens"))
-    turns = ranked(rows, ["turn", "tie"], ["conv_id"], name="place", sums={"before": F.col("tokens")})
+    number = F.monotonically_increasing_id().alias("row")
+    rows = written(rows.select(number, "conv_id", "turn", "role", "tie", "piece", *sizes, F.greatest(tokens(F.col("piece")), F.lit(1)).cast("long").alias("tokens")), "turns")
+    # the plan is made without texts; they join it by the row's number in the written table
+    turns = ranked(rows.drop("piece"), ["turn", "tie"], ["conv_id"], name="place", sums={"before": F.col("tokens")})
     turns = written(turns.withColumn("is_system", (F.col("place") == 1) & (F.col("role") == "system")), "turns")
     system = turns.where("is_system").select(F.col("conv_id").alias("conv_id_"), F.col("tokens").alias("system_tokens"))
     others = turns.where("not is_system")
@@ -82,12 +84,12 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     first = F.min("at").over(Window.partitionBy("conv_id", "cell"))
     # the last turn of a cell may run over its end; it has a window of its own if the span would be longer than the room
     own = others.withColumn("start", F.when(F.col("end") - first <= F.col("room"), first).otherwise(F.col("at")))
-    own = written(own.select("conv_id", "start", "place", "role", "piece", "head", "body", "chars", "tokens", "at", "end", "cell"), "spans")
+    own = written(own.select("conv_id", "start", "place", "role", "row", "head", "body", "chars", "tokens", "at", "end", "cell"), "spans")
     spans = own.groupBy(F.col("conv_id").alias("conv_id_"), F.col("cell").alias("cell_"), F.col("start").alias("start_")).agg(F.lit(1))
     near = own.where(F.col("tokens") <= history).select("*", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("next"))
     follows = _same(near, spans, "conv_id") & (F.col("next") == F.col("cell_"))
     follows &= (F.col("start_") >= F.col("end")) & (F.col("start_") - F.col("at") <= history)
-    columns = ["conv_id", "place", "piece", "head", "body", "chars", "tokens"]
+    columns = ["conv_id", "place", "row", "head", "body", "chars", "tokens"]
     past = near.join(spans, follows).select(F.col("start_").alias("start"), *columns, F.lit(True).alias("repeated"), F.lit(False).alias("target"))
     leads = turns.where("is_system").select(*[F.col(c).alias(f"{c}_") for c in columns])
     later = spans.where("start_ > 0").select(F.col("conv_id_").alias("conv_id"), "start_")
@@ -100,8 +102,11 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     begin = F.coalesce(F.sum("chars").over(here), F.lit(0)).cast("int") + F.col("head")
     span = F.when(F.col("target"), F.struct(begin.alias("from"), (begin + F.col("body")).alias("to")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"])
+    texts_of = rows.select(F.col("row").alias("row_"), "piece")
     return (
         every.withColumn("span", span)
+        .select("conv_id", "start", "place", "row", "repeated", "tokens", "span")
+        .join(texts_of, F.col("row") == F.col("row_"))
         .groupBy("conv_id", "start")
         .agg(
             F.array_join(texts, "").alias("text"),
