@@ -39,15 +39,23 @@ def _forget() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the
     lineage, outlives executors, and is computed once. Removed as the driver ends,
-    or before by ``drop_written``."""
+    or before by ``drop_written``. With ``free`` the shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession
     if not _kept:
         atexit.register(_forget)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _kept.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
