@@ -4,9 +4,13 @@ Level 1 hashes every window of ``window / 2**levels`` words. A window whose hash
 comes up once in the corpus cannot be part of a longer repeat, so at the next
 level, of twice the length, only those pairs of neighbours are joined of which
 both repeat. That goes on until the asked window is reached or nothing survives.
-Windows count as equal if two hashes of both halves' hashes agree, of 64 and 32 bits.
 
-Texts are read once. A map task hashes its texts in chunks of up to 2**20 words
+The levels compare 44 bits of a hash: what agrees by chance there is one candidate too many,
+never one too few. Windows of the full length are compared by BLAKE2b digests of 128 bits
+over their words, taken from the texts at the surviving starts, so no two different
+windows count as equal.
+
+A map task hashes its texts in chunks of up to 2**20 words
 and sends, to each range of hashes, the chunk's distinct hashes with a position,
 sorted and coded as differences: about six bytes for a window. What a chunk finds
 twice in itself it need not ask for; so a passage that holds a third of all rows
@@ -19,11 +23,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -33,7 +38,7 @@ POSITION_BITS = 20
 PIECE = 1 << POSITION_BITS  # words of a text that are hashed as one
 _U = np.uint64
 _BLOBS = "key long, chunk long, kind int, blob binary"
-HASHES, INDEX, KNOWN, REMOVED = 0, 1, 2, 3
+HASHES, INDEX, KNOWN, REMOVED, STARTS = 0, 1, 2, 3, 4
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id counts as the largest
 
 
@@ -140,50 +145,91 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blob_table(rows)])
 
 
-def _doubled(length: int, last: bool, bits: int):
-    """Of a chunk: windows of twice the length of which both halves repeat. Before the last
-    level they are asked for again; at the last one they go to the ranges with id and start."""
+def _pairs(table: pa.Table, length: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of a chunk: its index, and position and both hashes of neighbouring windows that both repeat."""
+    kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
+    index = [blobs[int(i)].as_py() for i in np.flatnonzero(kinds == INDEX)]
+    known = [wh.unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == KNOWN)]
+    if not index or not known:
+        return None
+    ends = np.cumsum(np.frombuffer(index[0], np.int64).reshape(-1, 5)[:, 3])
+    have = np.unique(np.concatenate(known))
+    at = (have >> _U(64 - POSITION_BITS)).astype(np.int64)
+    hashes = have & _U((1 << (64 - POSITION_BITS)) - 1)
+    nxt = np.searchsorted(at, at + length)
+    ok = nxt < len(at)
+    ok[ok] = at[nxt[ok]] == at[ok] + length
+    i, j = np.flatnonzero(ok), nxt[ok]
+    same = np.searchsorted(ends, at[i], "right") == np.searchsorted(ends, at[j], "right")
+    i, j = i[same], j[same]
+    return index[0], at[i], hashes[i], hashes[j]
+
+
+def _doubled(length: int, bits: int):
+    """Of a chunk: windows of twice the length of which both halves repeat; they are asked for again."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
-        index = [blobs[int(i)].as_py() for i in np.flatnonzero(kinds == INDEX)]
-        known = [wh.unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == KNOWN)]
-        if not index or not known:
-            return pa.Table.from_batches([_blob_table([])])
-        chunk = int(table.column("chunk")[0].as_py())
-        pieces = np.frombuffer(index[0], np.int64).reshape(-1, 5)
-        have = np.unique(np.concatenate(known))
-        at = (have >> _U(64 - POSITION_BITS)).astype(np.int64)
-        hashes = have & _U((1 << (64 - POSITION_BITS)) - 1)
-        ends = np.cumsum(pieces[:, 3])
-        nxt = np.searchsorted(at, at + length)
-        ok = nxt < len(at)
-        ok[ok] = at[nxt[ok]] == at[ok] + length
-        i, j = np.flatnonzero(ok), nxt[ok]
-        same = np.searchsorted(ends, at[i], "right") == np.searchsorted(ends, at[j], "right")
-        i, j = i[same], j[same]
-        hashes, check, at = wh.mix(hashes[i] * _U(0xD1342543DE82EF95) + wh.mix(hashes[j])), wh.mix(hashes[j] * _U(0xAF251AF3B0F025B5) + hashes[i]) >> _U(32), at[i]
-        rows = [(chunk, chunk, INDEX, index[0])]
-        if not last:
-            low = _U((1 << POSITION_BITS) - 1)
-            return pa.Table.from_batches([_blob_table(rows + _asked(chunk, (hashes & ~low) | at.astype(_U), bits) if len(at) else [])])
-        piece = np.searchsorted(ends, at, "right")
-        inside = at - (ends - pieces[:, 3])[piece]
-        counts = inside < pieces[piece, 4]
-        hashes, check, at, ids, start = hashes[counts], check[counts], at[counts], pieces[piece[counts], 0], inside[counts] + pieces[piece[counts], 2]
-        if not len(hashes):
+        found = _pairs(table, length)
+        if found is None or not len(found[1]):
             return pa.Table.from_batches([_blob_table([])])
-        hashes, check, ids, start, at, later = _order(hashes, check, ids, start, at)
+        index, at, left, right = found
+        chunk, low = int(table.column("chunk")[0].as_py()), _U((1 << POSITION_BITS) - 1)
+        hashes = wh.mix(left * _U(0xD1342543DE82EF95) + wh.mix(right))
+        return pa.Table.from_batches([_blob_table([(chunk, chunk, INDEX, index), *_asked(chunk, (hashes & ~low) | at.astype(_U), bits)])])
+
+    return run
+
+
+def _candidates(length: int):
+    """Of a chunk: for each text, the starts of windows of the full length of which both halves repeat."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _pairs(table, length)
+        return _spans(found[0], found[1]) if found else _spans(b"", np.zeros(0, np.int64))
+
+    return run
+
+
+def _exact(window: int, bits: int):
+    """Digests of the windows at the candidate starts of whole texts, to the ranges of digests, with id and start."""
+
+    def rows(chunk: int, pieces: list[tuple[int, int, int, int, int]], digests: list[bytes], starts: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(digests), ">u8").astype(_U).reshape(-1, 2)
+        index, at = np.array(pieces, np.int64), np.arange(len(both))
+        ids, start = np.repeat(index[:, 0], index[:, 3]), np.concatenate(starts)
+        hashes, check, ids, start, at, later = _order(both[:, 0], both[:, 1], ids, start, at)
+        # a piece's "words" are its candidates here: what is numbered are these, and their starts go with the index
+        out = [(chunk, chunk, INDEX, index.tobytes()), (chunk, chunk, STARTS, wh.pack_any(np.concatenate(starts)))]
         if later.any():
-            rows.append((chunk, chunk, REMOVED, wh.pack(np.sort(at[later]).astype(_U))))
-        lone = ~later
-        hashes, *rest = (x[lone] for x in (hashes, check.view(np.int64), ids, start, at))
+            out.append((chunk, chunk, REMOVED, wh.pack(np.sort(at[later]).astype(_U))))
+        hashes, *rest = (x[~later] for x in (hashes, check.view(np.int64), ids, start, at))
         edges = np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
         for k, (h, *own) in enumerate(zip(*(np.split(x, edges) for x in (hashes, *rest)), strict=True)):
             if len(h):
                 packed = [wh.pack(h), *(wh.pack_any(x) for x in own)]
-                rows.append((k, chunk, HASHES, b"".join([*(len(x).to_bytes(4, "little") for x in packed), *packed])))
-        return pa.Table.from_batches([_blob_table(rows)])
+                out.append((k, chunk, HASHES, b"".join([*(len(x).to_bytes(4, "little") for x in packed), *packed])))
+        return _blob_table(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, numbers = TaskContext.get().partitionId(), itertools.count()
+        pieces, digests, starts, n = [], [], [], 0
+        for batch in batches:
+            for doc, text_hash, text, packed in zip(batch.column("id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("x").cast(pa.large_binary()), batch.column("starts"), strict=True):
+                own = (text.as_py() or b"").split()
+                at = np.unique(np.concatenate([wh.unpack(x) for x in packed.as_py()])).astype(np.int64)
+                words, ends = memoryview(b" ".join(own)), np.cumsum([len(x) + 1 for x in own])
+                for k in range(0, len(at), PIECE):
+                    part = at[k : k + PIECE]
+                    if n + len(part) > PIECE:
+                        yield rows((task << 32) | next(numbers), pieces, digests, starts)
+                        pieces, digests, starts, n = [], [], [], 0
+                    begin = np.where(part > 0, ends[part - 1], 0)
+                    digests += [blake2b(words[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), (ends[part + window - 1] - 1).tolist(), strict=True)]
+                    pieces.append((doc, text_hash, k, len(part), len(part)))
+                    starts.append(part)
+                    n += len(part)
+        if n:
+            yield rows((task << 32) | next(numbers), pieces, digests, starts)
 
     return run
 
@@ -199,7 +245,7 @@ def _order(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray, start: np.nda
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of a range of the last level's hashes: the positions that have an earlier equal, by chunk. Other rows pass."""
+    """Of a range of digests: the positions that have an earlier equal, by chunk. Other rows pass."""
     kinds, blobs, chunks = table.column("kind").to_numpy(), table.column("blob"), table.column("chunk").to_numpy()
     rows = [(int(chunks[i]), int(chunks[i]), int(kinds[i]), blobs[int(i)].as_py()) for i in np.flatnonzero(kinds != HASHES)]
     own = np.flatnonzero(kinds == HASHES)
@@ -224,21 +270,37 @@ def _later(table: pa.Table) -> pa.Table:
 _SPANS = "id long, text_hash long, starts binary"
 
 
-def _by_text(table: pa.Table) -> pa.Table:
-    """Of a chunk: the starts to be removed, for each text."""
-    kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
-    index = [blobs[int(i)].as_py() for i in np.flatnonzero(kinds == INDEX)]
-    gone = [wh.unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == REMOVED)]
+def _spans(index: bytes, at: np.ndarray, starts: np.ndarray | None = None) -> pa.Table:
+    """Of a chunk: the positions ``at`` as starts in each text; ``starts`` has them if positions number candidates."""
     out: list[tuple[int, int, bytes]] = []
-    if index and gone:
-        pieces = np.frombuffer(index[0], np.int64).reshape(-1, 5)
-        at, ends = np.unique(np.concatenate(gone)).astype(np.int64), np.cumsum(pieces[:, 3])
+    pieces = np.frombuffer(index, np.int64).reshape(-1, 5)
+    if len(at):
+        ends = np.cumsum(pieces[:, 3])
         piece = np.searchsorted(ends, at, "right")
-        start = at - (ends - pieces[:, 3])[piece] + pieces[piece, 2]
+        inside = at - (ends - pieces[:, 3])[piece]
+        counts = inside < pieces[piece, 4]
+        at, piece, inside = at[counts], piece[counts], inside[counts]
+        start = inside + pieces[piece, 2] if starts is None else starts[at]
         heads = np.flatnonzero(np.diff(piece, prepend=-1))
-        out = [(int(pieces[k, 0]), int(pieces[k, 1]), wh.pack(x.astype(_U))) for k, x in zip(piece[heads].tolist(), np.split(start, heads[1:]), strict=True)]
-    ids, texts, starts = zip(*out, strict=True) if out else ([],) * 3
-    return pa.table({"id": pa.array(ids, pa.int64()), "text_hash": pa.array(texts, pa.int64()), "starts": pa.array(starts, pa.binary())})
+        out = [(int(pieces[k, 0]), int(pieces[k, 1]), wh.pack(x.astype(_U))) for k, x in zip(piece[heads].tolist(), np.split(start, heads[1:]) if len(piece) else [], strict=True)]
+    ids, texts, packed = zip(*out, strict=True) if out else ([],) * 3
+    return pa.table({"id": pa.array(ids, pa.int64()), "text_hash": pa.array(texts, pa.int64()), "starts": pa.array(packed, pa.binary())})
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """Of a chunk: the starts to be removed, for each text."""
+    kinds, blobs = table.column("kind").to_numpy(), table.column("blob")
+    of = lambda kind: [blobs[int(i)].as_py() for i in np.flatnonzero(kinds == kind)]
+    index, gone = of(INDEX), of(REMOVED)
+    if not index or not gone:
+        return _spans(b"", np.zeros(0, np.int64))
+    return _spans(index[0], np.unique(np.concatenate([wh.unpack(x) for x in gone])).astype(np.int64), wh.unpack_any(of(STARTS)[0]))
+
+
+def _texts(documents: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    """id, text_hash and x of each row."""
+    key, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")
+    return [F.coalesce(key.cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("x")]
 
 
 def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -254,14 +316,17 @@ def repeated_starts(documents: DataFrame, window: int = 20, levels: int = 1, id_
     size = max(1, input_bytes(documents))
     bits = int(np.clip(np.ceil(np.log2(size / 6e6)), 4, 16))
     length = window >> levels
-    rows = documents.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("t"), F.col(text_column).cast("string").alias("x"))
-    first = rows.mapInArrow(_first_level(length, window, bits), _BLOBS)
+    texts = _texts(documents, id_column, text_column)
+    first = documents.select(*texts).mapInArrow(_first_level(length, window, bits), _BLOBS)
     to = F.when(F.col("kind") == HASHES, F.col("key")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(1 << bits))).alias("to")
     known = first.groupBy(to).applyInArrow(_repeated, _BLOBS)
-    for level in range(levels):
-        doubled = known.groupBy("chunk").applyInArrow(_doubled(length << level, level == levels - 1, bits), _BLOBS)
-        known = doubled.groupBy(to).applyInArrow(_repeated if level < levels - 1 else _later, _BLOBS)
-    late = known
+    for level in range(levels - 1):
+        known = known.groupBy("chunk").applyInArrow(_doubled(length << level, bits), _BLOBS).groupBy(to).applyInArrow(_repeated, _BLOBS)
+    found = known.groupBy("chunk").applyInArrow(_candidates(window // 2), _SPANS)
+    found = written(found.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts")), "candidates", free=True)
+    # in order of id and text: a task that runs again, after a lost executor, must number the same rows alike
+    joined = documents.select(*texts).join(found.hint("merge"), ["id", "text_hash"]).sortWithinPartitions("id", "text_hash").select("id", "text_hash", "x", "starts")
+    late = joined.mapInArrow(_exact(window, bits), _BLOBS).groupBy(to).applyInArrow(_later, _BLOBS)
     return late.groupBy("chunk").applyInArrow(_by_text, _SPANS)
 
 
@@ -301,8 +366,8 @@ def remove_repeats(documents: DataFrame, window: int = 20, levels: int = 1, id_c
     the other. A null id counts as the largest. Other columns play no part.
     """
     starts = repeated_starts(documents, window, levels, id_column, text_column)
-    starts = written(starts.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts")), "starts")  # a row or two for a text
-    rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("x"), F.coalesce(F.col(id_column).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(text_column).alias("text_hash"))
+    starts = written(starts.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts")), "starts", free=True)  # a row or two for a text
+    rows = documents.select(F.col(f"`{id_column}`").alias("doc_id"), *_texts(documents, id_column, text_column))
     joined = rows.join(starts.hint("shuffle_hash"), ["id", "text_hash"], "left").select("doc_id", "x", "starts")
-    kind = documents.select(F.col(id_column)).dtypes[0][1]
+    kind = documents.select(F.col(f"`{id_column}`")).dtypes[0][1]
     return joined.mapInArrow(_cut(not digest, window), f"doc_id {kind}, n_words long, n_removed long, kept string")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkboard.llm import decontaminate, embedding_dedup, fm_index, html_text, language_id, license_scan, minhash_dedup, mixing, sharding, substring_dedup, url_filter
+from sparkboard.llm import wordhash as wh
 from sparkboard.llm.shared import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, items string, spans string, key long, id long, label string"
@@ -281,6 +282,34 @@ def test_substrings(spark, texts, monkeypatch):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_windows_that_collide_are_no_repeats(spark):
+    """Texts that share 15 words and end in five whose 44-bit hashes agree: found among random words, kept whole."""
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"v{k}" for k in range(5000)])
+    _, _, _, hashes = wh.words(np.frombuffer(" ".join(vocabulary).encode(), np.uint8), np.array([0, len(" ".join(vocabulary))]), "space")
+    top, words = [], []
+    for _ in range(16):
+        own = rng.integers(0, 5000, 1 << 20)
+        top.append(wh.windows(hashes[own], 5) >> np.uint64(substring_dedup.POSITION_BITS))
+        words.append(own)
+    every = np.concatenate(top)
+    values, counts = np.unique(every, return_counts=True)
+    n, pairs = len(top[0]), []
+    for value in values[counts > 1]:
+        a, b = np.flatnonzero(every == value)[:2].tolist()
+        one, two = (" ".join(vocabulary[words[x // n][x % n : x % n + 5]]) for x in (a, b))
+        if one != two:
+            pairs.append((one, two))
+    assert pairs  # about eight of 44 bits among 16 million
+    head = [" ".join(f"h{k}_{j}" for j in range(15)) for k in range(len(pairs))]
+    rows = [(2 * k + j, f"{head[k]} {tail}") for k, both in enumerate(pairs) for j, tail in enumerate(both)]
+    rows += [(len(rows), f"{head[0]} {pairs[0][1]}")]  # and one true repeat
+    docs = spark.createDataFrame(rows, "`doc.id` long, text string")
+    for levels in (1, 2):
+        got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, 20, levels, id_column="doc.id").collect()}
+        assert got == {k: 20 * (k == len(rows) - 1) for k in range(len(rows))}
+
+
 def test_licenses(spark):
     rows = [(1, "Hello\nReleased under the MIT license\nbye", "en", "s"), (2, license_scan.TEMPLATES[9][1].replace(" ", "\n"), "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (5, "licensed to nobody", "en", "s"), (1, "Licensed under CC BY-NC 4.0.", "en", "s"), (None, "Licensed under the Apache License, Version 2.0", "en", "s")]
     got = {r.doc_id: (r.license, r.score, r.n_units) for r in license_scan.scan_licenses(table(spark, rows)).collect()}
