@@ -114,13 +114,19 @@ def mixed(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame) -> DataFrame:
     """``documents`` as mixed, with their own columns, whatever their names: a row each time
     a document is taken; where the last block of a source cuts a document, only the words
-    taken stay. Null, empty and blank texts have no words and are not taken. An empty
-    table gives an empty table.
+    taken stay. Null, empty and blank texts have no words and are not taken. Rows alike in
+    id, source and size share what is planned for them out among themselves, to the word.
+    An empty table gives an empty table.
     """
-    plan = mixed(documents).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), n_words(F.col("text")).alias("words"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    turns = rows.join(plan, same).select("row", "size", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("left"))
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    key = F.concat_ws("\0", "size", known("doc_id"), known("source")).alias("key")
+    # rows alike in id, source and size have one list of plans, of which each takes its own
+    plan = mixed(documents).where("size > 0").select(key, "taken").groupBy(F.col("key").alias("key_")).agg(F.array_sort(F.collect_list("taken")).alias("plans"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(row, "doc_id", "source", n_words(F.col("text")).alias("size")).where("size > 0").select("row", "size", key)
+    number = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    joined = rows.join(plan, F.col("key") == F.col("key_")).withColumn("taken", F.element_at("plans", number)).where("taken > 0")
+    turns = joined.select("row", "size", F.explode(F.expr("transform(sequence(0L, (taken - 1) div size), i -> least(size, taken - i * size))")).alias("left"))
     first_words = F.array_join(F.slice(F.expr(r"regexp_extract_all(row.text, '[^\\x20\\x09-\\x0D]+', 0)"), F.lit(1), F.col("left").cast("int")), " ")
     text = F.when(F.col("left") == F.col("size"), F.col("row.text")).otherwise(first_words)
     return turns.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

@@ -81,10 +81,53 @@ def test_mixing(spark, texts):
         assert abs(sum(r.taken for r in own) - target[s]) <= 1
     assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, rows))
     out = mixing.mix(docs)
-    assert out.columns == docs.columns and abs(sum(len((r.text or "").split()) for r in out.collect()) - sum(r.taken for r in rows)) <= 60
+    plan, got = collections.Counter(), collections.Counter()
+    for r in rows:
+        plan[r.doc_id, r.source] += r.taken
+    for r in out.collect():
+        got[r.doc_id, r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+    assert out.columns == docs.columns and got == +plan
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_schedule_against_a_plain_loop(spark, monkeypatch):
+    """Words taken of each document against a walk through the golden-ratio points, block by block."""
+    monkeypatch.setattr(mixing, "LARGEST_BLOCK", 16)
+    rng = random.Random(2)
+    docs = [(k, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "b", None])) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.mixed(df).collect()
+    order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    size, target = ({r.source: r[c] for r in rows} for c in ("source_size", "target"))
+    total = sum(size.values())
+    block = max(1, min(16, total // (len(order) * mixing.SLOTS_PER_SOURCE)))
+    slots, edges = -(-total // block), np.cumsum([target[s] for s in order]) / sum(target.values())
+    drawn = collections.Counter(order[min(int(np.searchsorted(edges, x, "right")), len(order) - 1)] for x in ((k + 1) * mixing.GOLDEN % 1 for k in range(slots)))
+    draws = {(r.doc_id, r.size): r.d for r in df.select("doc_id", mixing.n_words(F.col("text")).alias("size")).withColumn("d", F.xxhash64("doc_id", "size")).collect()}
+    for s in order:
+        own = sorted((r for r in rows if r.source == s), key=lambda r: (draws[r.doc_id, r.size] % mixing.BUCKETS, draws[r.doc_id, r.size]))
+        words = round(target[s])
+        stream = [r.doc_id for r in own for _ in range(r.size)]  # a source's words in shuffled order
+        need = words // size[s] * -(-size[s] // block) + -(-(words % size[s]) // block)
+        assert abs(drawn[s] - need) <= max(3, 0.02 * need)  # the points alone give each source nearly its slots
+        taken, left = collections.Counter(), words
+        while left > 0:  # round and round, until the target ends
+            taken.update(stream[: min(left, size[s])])
+            left -= size[s]
+        assert {r.doc_id: r.taken for r in own} == {r.doc_id: taken[r.doc_id] for r in own}
+
+
+def test_alike_rows_share_their_plan(spark):
+    rows = [(1, "a b c d e f g h", "s")] * 3 + [(2, "x " * 30, "t"), (3, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, got = collections.Counter(), collections.Counter()
+    for r in mixing.mixed(docs).collect():
+        plan[r.source] += r.taken
+    for r in mixing.mix(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert got == plan and 8 < plan["s"] < 24
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 16)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)

@@ -8,7 +8,7 @@ from sparkboard.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_names():
-    assert [q for q in QUERIES if q.startswith("op")] and len({q.split("_")[0] for q in QUERIES}) == 10
+    assert [q for q in QUERIES if q.startswith("op")] and len({q.split("_")[0] for q in QUERIES}) == 13
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"]
 
