@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .spec import WIDGETS, Board, SubTab, Widget, load_board
 
-SET, ADD = ("add_dataset", "set_rows"), "add_rows"
+SET, ADD, DELETE = ("add_dataset", "set_rows"), "add_rows", "delete_row"
 
 
 def live_rows(log: DataFrame, key: str = "dataset", seq: str = "seq", op: str = "op") -> DataFrame:
@@ -23,6 +23,35 @@ def live_rows(log: DataFrame, key: str = "dataset", seq: str = "seq", op: str =
     return log.where(F.col(op).isin(*SET, ADD)).join(last, key).where((F.col(seq) == F.col("_last")) | ((F.col(op) == ADD) & (F.col(seq) > F.col("_last")))).drop("_last")
 
 
+def _flagged(log: DataFrame, key: str, seq: str, op: str, row: str) -> DataFrame:
+    """Live rows with ``gone``: whether a later ``delete_row`` has taken the row away."""
+    log = log if "gone" in log.columns else log.withColumn("gone", F.lit(False))
+    taken = log.where((F.col(op) == DELETE) & F.col(row).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(row).alias("_row")).agg(F.max(seq).alias("_taken"))
+    live = live_rows(log.where(F.col(op) != DELETE), key, seq, op)
+    found = live.join(taken, (F.col(key) == F.col("_k")) & (F.col(row) == F.col("_row")), "left")
+    return found.withColumn("gone", F.col("gone") | F.coalesce(F.col("_taken") > F.col(seq), F.lit(False))).drop("_k", "_row", "_taken")
+
+
+def state_rows(log: DataFrame, key: str = "dataset", seq: str = "seq", op: str = "op", row: str = "row") -> DataFrame:
+    """Log rows of the present rows: ``live_rows`` without those that a later ``delete_row`` of the same
+    ``row`` has taken away. A row that is added again after that is there again; a null row cannot be deleted."""
+    return _flagged(log, key, seq, op, row).where("not gone").drop("gone")
+
+
+def snapshot(log: DataFrame, before: DataFrame | None = None, key: str = "dataset", seq: str = "seq", op: str = "op", row: str = "row") -> DataFrame:
+    """The state after ``log`` as rows to be stored: its present rows, and with ``gone`` those that set a dataset's rows and
+    have been deleted since, for what is added later counts after them. With ``before``, an earlier snapshot, ``log`` is
+    only what follows it, so each snapshot costs a state and a stretch of log."""
+    every = log.withColumn("gone", F.lit(False))
+    rows = _flagged(every if before is None else before.unionByName(every), key, seq, op, row)
+    return rows.where(~F.col("gone") | F.col(op).isin(*SET))
+
+
+def from_snapshot(before: DataFrame, tail: DataFrame, key: str = "dataset", seq: str = "seq", op: str = "op", row: str = "row") -> DataFrame:
+    """The present rows from a snapshot and the log that follows it: those of a replay of the whole log."""
+    return state_rows(before.unionByName(tail.withColumn("gone", F.lit(False))), key, seq, op, row)
+
+
 def undone(log: DataFrame, key: str = "dataset", seq: str = "seq", steps: int = 1) -> DataFrame:
     """The log without the last ``steps`` ops of each key; replay it for the state before them."""
     rank = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc(seq)))
@@ -108,4 +137,4 @@ def replay_tabs(log: DataFrame) -> DataFrame:
     return log.groupBy("tab").applyInPandas(fold, "tab string, board string")
 
 
-__all__ = ["apply_op", "live_rows", "load_board", "replay", "replay_tabs", "undo", "undone"]
+__all__ = ["apply_op", "from_snapshot", "live_rows", "load_board", "replay", "replay_tabs", "snapshot", "state_rows", "undo", "undone"]

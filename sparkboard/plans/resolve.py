@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date, month_key, month_label, validity
 from ..functions.numbers import number
 from ..functions.text import norm
+from ..operators.order import ranked
 from .spec import Chart, Filter, Kpi, SpecError
 
 BLANK, REST = "(vazio)", "Outros"
@@ -188,11 +189,18 @@ def grouped(df: DataFrame, rule: Chart, as_of: Column | None = None) -> DataFram
     key = F.coalesce(F.nullif(label, F.lit("")), F.lit(BLANK))
     order = rule.order_by or (("_ord",) if "_ord" in rows.columns else ())
     first = [F.min(F.struct(*[F.col(f"`{column_name(rows, c)}`") for c in order])).alias("_first")] if order else []
-    groups = rows.groupBy(key.alias("label")).agg(*sums, *first)
-    tie = F.asc("_first") if order else F.asc("label")
-    ranks = [tie, F.asc("label")] if rule.kind in ("line", "area") and order else [F.desc("v1"), tie, F.asc("label")]
-    if rule.top is None:
-        return groups.select("label", *names, F.row_number().over(Window.orderBy(*ranks)).alias("position"))
+    return ordered_groups(rows.groupBy(key.alias("label")).agg(*sums, *first), names, rule)
+
+
+def ordered_groups(groups: DataFrame, names: list[str], rule: Chart) -> DataFrame:
+    """label, the values ``names`` and position of ``groups`` (label, values, ``_first`` if rows have an order)."""
+    ordered = "_first" in groups.columns
+    keys = ["_first", "label"] if ordered else ["label"]
+    if not (rule.kind in ("line", "area") and ordered):
+        keys = [("v1", "desc"), *keys]
+    if rule.top is None:  # any number of groups: a global order, not a window over all
+        return ranked(groups, keys, name="position").select("label", *names, F.col("position").cast("int").alias("position"))
+    ranks = [F.desc(k[0]) if isinstance(k, tuple) else F.asc(k) for k in keys]
     # the largest top - 1 groups are a bounded top-k; all others fold into one row
     head = groups.orderBy(*ranks).limit(rule.top).select("label", *names, F.row_number().over(Window.orderBy(*ranks)).alias("position"))
     total = groups.agg(*[F.sum(n).alias(f"t_{n}") for n in names], F.count("*").alias("n"))

@@ -272,3 +272,6 @@ query("facts_recalled", "benchmark conversations")(lambda b, c: memory.recalled(
 query("edits_asked", "conversations")(lambda t: t.select("conv_id", "turn", edit.edit(F.col("text")).alias("e")).select("conv_id", "turn", "e.*"))
 query("conversation_markdown", "conversations", "SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn, line) AS markdown FROM (SELECT conv_id, turn, '## ' || coalesce(role, '?') || chr(10) || chr(10) || coalesce(text, '') AS line FROM conversations) GROUP BY 1")(sinks.conversation_markdown)
 query("state_round_trip", "customer", "SELECT c_custkey, c_name, c_mktsegment, 'pt' AS language FROM customer")(lambda t: sinks.import_state(sinks.export_state(t.select("c_custkey", "c_name", "c_mktsegment")), "c_custkey long, c_name string, c_mktsegment string, language string", {"language": "pt"}))
+
+
+from . import queries_live  # noqa: E402, F401 - registers further queries
