@@ -126,8 +126,8 @@ query(
 # ---- totals and cross tables --------------------------------------------------------------
 
 _SUMS = "grouping_id({k})::BIGINT AS level, count(*) AS n, round(sum(l_extendedprice), 0) AS total FROM lineitem"
-_SHOW = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN 'Total' ELSE {c} END AS {c}" for c in ("l_returnflag", "l_linestatus", "l_shipmode"))
-_KEYS = "l_returnflag, l_linestatus, l_shipmode"
+_SHOW = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN 'Total' ELSE CAST({c} AS VARCHAR) END AS {c}" for c in ("l_returnflag", "l_linestatus", "l_linenumber"))
+_KEYS = "l_returnflag, l_linestatus, l_linenumber"
 
 
 def _measures() -> dict:
@@ -136,8 +136,8 @@ def _measures() -> dict:
 
 query("totals_rollup", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP BY ROLLUP ({_KEYS})")(lambda t: totals.with_totals(t, _KEYS.split(", "), _measures()))
 query("totals_cube", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP BY CUBE ({_KEYS})")(lambda t: totals.with_totals(t, _KEYS.split(", "), _measures(), "cube"))
-query("totals_sets", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP BY GROUPING SETS ((l_returnflag, l_shipmode), (l_linestatus), ())")(
-    lambda t: totals.with_totals(t, _KEYS.split(", "), _measures(), [["l_returnflag", "l_shipmode"], ["l_linestatus"], []])
+query("totals_sets", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP BY GROUPING SETS ((l_returnflag, l_linenumber), (l_linestatus), ())")(
+    lambda t: totals.with_totals(t, _KEYS.split(", "), _measures(), [["l_returnflag", "l_linenumber"], ["l_linestatus"], []])
 )
 query(
     "pivot_status",
