@@ -78,33 +78,88 @@ class DocType:
     strong: tuple[str, ...] = ()
 
 
-def _types(table: str) -> tuple[DocType, ...]:
-    rows = [x.split(" = ") for x in table.strip().splitlines()]
-    return tuple(DocType(name.strip(), tuple(words.split("|")), tuple(strong.split("|"))) for name, words, strong in rows)
-
-
-#: Types of safety documents = keywords = strong phrases.
-DOC_TYPES = _types("""
-apr = analise preliminar de risco|apr|perigo|medidas de controle|etapa|probabilidade|severidade|risco residual = analise preliminar de risco
-pt = permissao de trabalho|permissao de entrada|pet|liberacao|emitente|executante|encerramento = permissao de trabalho|permissao de entrada e trabalho
-aso = atestado de saude ocupacional|apto|inapto|admissional|periodico|demissional|medico examinador|crm|exames complementares = atestado de saude ocupacional
-pgr = programa de gerenciamento de riscos|inventario de riscos|plano de acao|gro|avaliacao de riscos|ghe|grupo homogeneo = programa de gerenciamento de riscos|inventario de riscos
-ppra = programa de prevencao de riscos ambientais|ppra = programa de prevencao de riscos ambientais
-pcmso = programa de controle medico|pcmso|periodicidade dos exames|medico responsavel|relatorio analitico = programa de controle medico de saude ocupacional
-ltcat = laudo tecnico|ltcat|insalubridade|periculosidade|agente nocivo|aposentadoria especial|conclusao = laudo tecnico das condicoes ambientais|laudo de insalubridade|laudo de periculosidade
-fds = ficha de informacoes de seguranca|ficha com dados de seguranca|fispq|fds|identificacao do produto|composicao|primeiros socorros|combate a incendio|numero cas|numero onu|pictograma|frases de perigo|14725 = fispq|ficha com dados de seguranca|ficha de informacoes de seguranca
-os = ordem de servico|obrigacoes|proibicoes|riscos da funcao|ciente|penalidades|recomendacoes = ordem de servico
-certificado = certificado|certificamos|carga horaria|concluiu|curso|instrutor|conteudo programatico|participou = certificamos|certificado de conclusao
-ficha_epi = ficha de entrega|ficha de controle|epi|data de entrega|devolucao|assinatura do colaborador|termo de responsabilidade = ficha de entrega|controle de entrega de epi|ficha de epi
-procedimento = procedimento|objetivo|escopo|campo de aplicacao|responsabilidades|definicoes|descricao das atividades|referencias|instrucao de trabalho|pop = procedimento operacional|instrucao de trabalho|procedimento de seguranca
-inspecao = inspecao|nao conformidade|evidencia|constatacao|auditoria|recomendacao|registro fotografico = relatorio de inspecao|nao conformidade|relatorio de auditoria
-acidente = acidente|investigacao|causa raiz|testemunha|lesao|ocorrencia|acidentado|5 porques|ishikawa = investigacao de acidente|analise de acidente|comunicacao de acidente|relatorio de acidente
-ata = ata|reuniao|presentes|pauta|deliberacoes|secretario|cipa = ata da reuniao|ata de reuniao|ata de eleicao
-checklist = checklist|check list|conforme|nao conforme|n/a|verificacao|item = checklist|lista de verificacao
-dds = dialogo diario de seguranca|dds|tema do dia|participantes = dialogo diario de seguranca
-norma = portaria|norma regulamentadora|subitem|anexo|disposicoes|vigencia|revoga = norma regulamentadora
-contrato = contrato|clausula|contratante|contratada|rescisao = clausula primeira|do objeto
-""")
+#: Types of safety documents, their keywords and strong phrases.
+DOC_TYPES = (
+    DocType(
+        "apr",
+        ("analise preliminar de risco", "apr", "perigo", "medidas de controle", "etapa", "probabilidade", "severidade", "risco residual"),
+        ("analise preliminar de risco",),
+    ),
+    DocType(
+        "pt",
+        ("permissao de trabalho", "permissao de entrada", "pet", "liberacao", "emitente", "executante", "encerramento"),
+        ("permissao de trabalho", "permissao de entrada e trabalho"),
+    ),
+    DocType(
+        "aso",
+        ("atestado de saude ocupacional", "apto", "inapto", "admissional", "periodico", "demissional", "medico examinador", "crm", "exames complementares"),
+        ("atestado de saude ocupacional",),
+    ),
+    DocType(
+        "pgr",
+        ("programa de gerenciamento de riscos", "inventario de riscos", "plano de acao", "gro", "avaliacao de riscos", "ghe", "grupo homogeneo"),
+        ("programa de gerenciamento de riscos", "inventario de riscos"),
+    ),
+    DocType("ppra", ("programa de prevencao de riscos ambientais", "ppra"), ("programa de prevencao de riscos ambientais",)),
+    DocType(
+        "pcmso",
+        ("programa de controle medico", "pcmso", "periodicidade dos exames", "medico responsavel", "relatorio analitico"),
+        ("programa de controle medico de saude ocupacional",),
+    ),
+    DocType(
+        "ltcat",
+        ("laudo tecnico", "ltcat", "insalubridade", "periculosidade", "agente nocivo", "aposentadoria especial", "conclusao"),
+        ("laudo tecnico das condicoes ambientais", "laudo de insalubridade", "laudo de periculosidade"),
+    ),
+    DocType(
+        "fds",
+        ("ficha de informacoes de seguranca", "ficha com dados de seguranca", "fispq", "fds", "identificacao do produto", "composicao", "primeiros socorros", "combate a incendio", "numero cas", "numero onu", "pictograma", "frases de perigo", "14725"),
+        ("fispq", "ficha com dados de seguranca", "ficha de informacoes de seguranca"),
+    ),
+    DocType(
+        "os",
+        ("ordem de servico", "obrigacoes", "proibicoes", "riscos da funcao", "ciente", "penalidades", "recomendacoes"),
+        ("ordem de servico",),
+    ),
+    DocType(
+        "certificado",
+        ("certificado", "certificamos", "carga horaria", "concluiu", "curso", "instrutor", "conteudo programatico", "participou"),
+        ("certificamos", "certificado de conclusao"),
+    ),
+    DocType(
+        "ficha_epi",
+        ("ficha de entrega", "ficha de controle", "epi", "data de entrega", "devolucao", "assinatura do colaborador", "termo de responsabilidade"),
+        ("ficha de entrega", "controle de entrega de epi", "ficha de epi"),
+    ),
+    DocType(
+        "procedimento",
+        ("procedimento", "objetivo", "escopo", "campo de aplicacao", "responsabilidades", "definicoes", "descricao das atividades", "referencias", "instrucao de trabalho", "pop"),
+        ("procedimento operacional", "instrucao de trabalho", "procedimento de seguranca"),
+    ),
+    DocType(
+        "inspecao",
+        ("inspecao", "nao conformidade", "evidencia", "constatacao", "auditoria", "recomendacao", "registro fotografico"),
+        ("relatorio de inspecao", "nao conformidade", "relatorio de auditoria"),
+    ),
+    DocType(
+        "acidente",
+        ("acidente", "investigacao", "causa raiz", "testemunha", "lesao", "ocorrencia", "acidentado", "5 porques", "ishikawa"),
+        ("investigacao de acidente", "analise de acidente", "comunicacao de acidente", "relatorio de acidente"),
+    ),
+    DocType(
+        "ata",
+        ("ata", "reuniao", "presentes", "pauta", "deliberacoes", "secretario", "cipa"),
+        ("ata da reuniao", "ata de reuniao", "ata de eleicao"),
+    ),
+    DocType(
+        "checklist",
+        ("checklist", "check list", "conforme", "nao conforme", "n/a", "verificacao", "item"),
+        ("checklist", "lista de verificacao"),
+    ),
+    DocType("dds", ("dialogo diario de seguranca", "dds", "tema do dia", "participantes"), ("dialogo diario de seguranca",)),
+    DocType("norma", ("portaria", "norma regulamentadora", "subitem", "anexo", "disposicoes", "vigencia", "revoga"), ("norma regulamentadora",)),
+    DocType("contrato", ("contrato", "clausula", "contratante", "contratada", "rescisao"), ("clausula primeira", "do objeto")),
+)
 
 
 def doc_type_scores(docs: DataFrame, doc: str, text: str, types: Sequence[DocType]) -> DataFrame:

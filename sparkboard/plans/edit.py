@@ -36,7 +36,18 @@ EDIT_RULES = (
     Rule("add_widget", rf"^{_ADD} .*{_BLOCK}\b"),
 )
 #: Words for kinds of charts.
-KIND_RULES = (Rule("donut", r"(para|em) .*(pizza|rosca|donut)"), Rule("hbar", r"(para|em) .*barras? horizonta"), Rule("stacked", r"(para|em) .*empilhad"), Rule("area", r"(para|em) .*area"), Rule("line", r"(para|em) .*linha"))
+KIND_RULES = (
+    Rule("donut", r"(para|em) .*(pizza|rosca|donut)"),
+    Rule("hbar", r"(para|em) .*barras? horizonta"),
+    Rule("stacked", r"(para|em) .*empilhad"),
+    Rule("area", r"(para|em) .*area"),
+    Rule("line", r"(para|em) .*linha"),
+)
+#: Words for places, widths, themes, colours and descriptions.
+TO_TOP, TO_END = r"para (o |a )?(topo|inicio|comeco|primeir)", r"para (o |a )?(fim|final|ultim)"
+FULL, WIDER, HALF = "largura total|inteir", "maior", "metade"
+DARK, COLOUR = r"(tema|modo|fundo) (escuro|dark)", "(#[0-9a-f]{6})"
+DESCRIPTION = r"(?i)(?:descri[cç][aã]o|objetivo) ?[:-] ?(.+)$"
 
 
 def _part(c: Column, pattern: str) -> Column:
@@ -57,14 +68,14 @@ def edit(text: Column) -> Column:
     block = r"(?i)\b(?:gr[aá]fico|kpi|indicador|card|tabela|nota|checklist|contador|formul[aá]rio|calculadora|links?|bloco|meta|progresso|widget)s?\b"
     named = _part(raw, block + r" ?(?:d[aeo]s? |sobre )?[\"“']?(.*?)[\"”']?(?: (?:para|em|maior|menor|inteir|metade|com largura|na aba|largura).*)?$")
     is_ = lambda *ops: op.isin(*ops)
-    place = F.when(t.rlike(r"para (o |a )?(topo|inicio|comeco|primeir)"), "first").when(t.rlike(r"para (o |a )?(fim|final|ultim)"), "last").otherwise(F.coalesce(_part(raw, r"(?i)para a? ?sub[ -]?aba (.+)$"), new_name))
-    width = F.when(t.rlike("largura total|inteir"), "4").when(t.rlike("maior"), "+1").when(t.rlike("metade"), "2").otherwise("1")
+    place = F.when(t.rlike(TO_TOP), "first").when(t.rlike(TO_END), "last").otherwise(F.coalesce(_part(raw, r"(?i)para a? ?sub[ -]?aba (.+)$"), new_name))
+    width = F.when(t.rlike(FULL), "4").when(t.rlike(WIDER), "+1").when(t.rlike(HALF), "2").otherwise("1")
     value = (
         F.when(is_("rename_subtab", "rename_tab", "retitle_widget"), new_name)
         .when(is_("set_columns"), F.regexp_extract(t, r"\b([1-4]) colunas?\b", 1))
-        .when(is_("set_theme"), F.when(t.rlike(r"(tema|modo|fundo) (escuro|dark)"), "dark").otherwise("light"))
-        .when(is_("set_color"), F.regexp_extract(t, "(#[0-9a-f]{6})", 1))
-        .when(is_("set_description"), _part(raw, r"(?i)(?:descri[cç][aã]o|objetivo) ?[:-] ?(.+)$"))
+        .when(is_("set_theme"), F.when(t.rlike(DARK), "dark").otherwise("light"))
+        .when(is_("set_color"), F.regexp_extract(t, COLOUR, 1))
+        .when(is_("set_description"), _part(raw, DESCRIPTION))
         .when(is_("set_kind"), first_match(raw, KIND_RULES, "bar"))
         .when(is_("set_span"), width)
         .when(is_("move_widget"), place)
