@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import order, sketch
+from .functions import catalog
+from .operators import locale, order, sketch
 from .plans import oplog, totals
 from .plans.spec import Chart, Filter, Kpi
 from .queries import AS_OF, day, query
+from .scratch import shared_folder
+from .sources import sinks
+from .sources.fetch import fetched, from_table
 from .streaming import joins, quiet, views
+from .streaming.kv import KeyValue
 
 # ---- widgets that follow changes ----------------------------------------------------------
 # Orders come in two batches: all of them, then each of status P goes and comes again at twice its price as status F.
@@ -207,3 +214,75 @@ query("state_by_snapshots", "events", _STATE)(_by_snapshots)
 
 
 
+
+# ---- stores, fetchers, sinks, language order ------------------------------------------------
+
+
+def _kv(t: DataFrame) -> DataFrame:
+    """Events as changes of users' rows in four batches, compacted after the second and the last."""
+    spark = t.sparkSession
+    rows = t.select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "purchase").alias("deleted"))
+    store = KeyValue(spark, f"{shared_folder(spark)}/kv-{uuid.uuid4().hex}", "user_id long, event_id long, event_type string, value double, deleted boolean", "user_id", "event_id", base=10)
+    low, high = t.agg(F.min("event_id"), F.max("event_id")).first()
+    step = max(1, ((high or 0) - (low or 0)) // 4 + 1)
+    for k in range(4):
+        store.write()(rows.where(F.floor((F.col("event_id") - F.lit(low or 0)) / step) == k), k)
+        if k in (1, 3):
+            store.compact()
+    return store.state()
+
+
+query(
+    "kv_compacted",
+    "events",
+    "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'purchase'",
+)(_kv)
+
+
+def _fetched(t: DataFrame) -> DataFrame:
+    """Each page's address and a wrong one: first from pages with an article element, then from all."""
+    urls = t.select("url").unionByName(t.select(F.concat("url", F.lit("?missing")).alias("url")))
+    chain = [("articles", from_table(t.where(F.contains("html", F.lit("<article"))), "url", "html")), ("all pages", from_table(t, "url", "html"))]
+    return fetched(urls, chain).select("url", F.length("text").cast("long").alias("n"), "via", F.array_join("errors", "; ").alias("errors"))
+
+
+query(
+    "fetched_pages",
+    "pages",
+    """WITH p AS (SELECT url, max(html) AS html, max(html) FILTER (contains(html, '<article')) AS art FROM pages WHERE url IS NOT NULL GROUP BY 1)
+    SELECT url, CASE WHEN length(art) >= 20 THEN length(art) WHEN length(html) >= 20 THEN length(html) END AS n, CASE WHEN length(art) >= 20 THEN 'articles' WHEN length(html) >= 20 THEN 'all pages' END AS via,
+    CASE WHEN length(art) >= 20 THEN '' WHEN art IS NULL THEN 'articles: not stored' ELSE 'articles: empty answer' END || CASE WHEN coalesce(length(art), 0) >= 20 OR length(html) >= 20 THEN '' ELSE '; all pages: empty answer' END AS errors FROM p
+    UNION ALL SELECT url || '?missing', NULL, NULL, 'articles: not stored; all pages: not stored' FROM p""",
+)(_fetched)
+
+
+def _csv(t: DataFrame) -> DataFrame:
+    path = f"{shared_folder(t.sparkSession)}/csv-{uuid.uuid4().hex}"
+    sinks.write_ordered_csv(t.select("conv_id", "turn", "role", "text"), path, ["conv_id", "turn"])
+    return sinks.read_ordered_csv(t.sparkSession, path, "conv_id long, turn long, role string, text string").withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+query("csv_round_trip", "conversations", "SELECT conv_id, turn, role, md5(nullif(text, '')) AS text FROM conversations")(_csv)
+query(
+    "locale_order",
+    "conversations",
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM conversations)
+    SELECT word, row_number() OVER (ORDER BY word COLLATE pt, word) AS place FROM w""",
+)(
+    lambda t: order.ranked(
+        t.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"))).alias("word")).distinct(), [locale.collated(F.col("word")), "word"], name="place"
+    )
+)
+query(
+    "locale_groups",
+    "conversations",
+    """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM conversations) SELECT min(word) AS word, count(*) AS n FROM w GROUP BY lower(strip_accents(word))""",
+)(lambda t: locale.groups(t.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"))).alias("word")), "word", {"n": F.count("*")}))
+
+
+def _chunk_rows(t: DataFrame) -> DataFrame:
+    catalog.register(t.sparkSession)
+    return t.sparkSession.sql("SELECT d.doc_id, c.start, c.chunk FROM {docs} d, LATERAL chunk_text(d.text, 650) c", docs=t)
+
+
+query("chunk_function", "documents")(_chunk_rows)
