@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .fm_index import FMIndex
-from .shared import free_name, small_batches
+from .shared import free_name, give_back, small_batches
 
 BLOCK_BYTES = 1 << 20  # of benchmark text that is searched, and in a worker's memory, at once
 SHARD_BYTES = 8 << 20  # of training text that one index covers; a longer text is a shard of its own
@@ -208,6 +208,8 @@ def _searched(benchmark: DataFrame, window: int, item_column: str, item_text: st
             for column in shard:
                 yield found.slice(at, len(column))
                 at += len(column)
+            del whole, data, found, out
+            give_back()  # an index and its search take several times a shard's size
 
     return lambda text: search(text.cast("string"))
 

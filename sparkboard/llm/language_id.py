@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import free_name, small_batches, small_table
+from .shared import free_name, give_back, released, small_batches, small_table
 
 FEATURES = 1 << 16
 PER_LANGUAGE, SAMPLE = 400, 80_000  # the sample's bounds: texts of a language, texts (one of each language at least)
@@ -233,7 +233,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     spark = labelled.sparkSession
     small_batches(spark)
     labelled = labelled.where("lang is not null")
-    counted = labelled.select("text").mapInArrow(_document_counts, "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()  # 17 rows of a fixed size
+    counted = labelled.select("text").mapInArrow(released(_document_counts), "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()  # 17 rows of a fixed size
     parts = {x.part: np.frombuffer(x.counts, np.int64) for x in counted}
     docs = int(parts[16][0]) if 16 in parts else 0
     if not docs:
@@ -245,10 +245,10 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     drawn = labelled.join(F.broadcast(share), "lang").where("draw < share").groupBy("lang", "draw").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))  # about as many rows as the sample has
     schema = "lang string, draw double, piece boolean, at binary, n binary"
-    found = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang", "draw").mapInArrow(_sampled, schema).collect()
+    found = drawn.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang", "draw").mapInArrow(released(_sampled), schema).collect()
     if missed := sorted({x.lang for x in known} - {x.lang for x in found}):  # one text of each language that the draw passed over
         rest = labelled.join(F.broadcast(small_table(spark, [(x,) for x in missed], "lang string")), "lang").where(F.col("text").rlike(r"\p{L}"))
-        found += rest.groupBy("lang").agg(F.min(F.struct("draw", "text")).alias("x")).select("x.text", "lang", "x.draw").mapInArrow(_sampled, schema).collect()
+        found += rest.groupBy("lang").agg(F.min(F.struct("draw", "text")).alias("x")).select("x.text", "lang", "x.draw").mapInArrow(released(_sampled), schema).collect()
     found.sort(key=lambda x: (x.draw, x.lang, x.at))
     languages = sorted({x.lang for x in found})
     number = {x: k for k, x in enumerate(languages)}
@@ -277,6 +277,7 @@ def predicted(text: Column, model: Model, documents: DataFrame) -> Column:
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             yield known.value.predict_all(column)
+        give_back()
 
     return predict(text.cast("string"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import components, free_name, small_batches, written
+from .shared import components, free_name, give_back, released, small_batches, written
 
 SHINGLE, BANDS, ROWS = 5, 12, 3
 BLOCK, BLOCK_BYTES = 256, 2 << 20
@@ -120,7 +120,7 @@ class Weights:
 def shingle_weights(texts: DataFrame, strength: float = IDF_STRENGTH) -> Weights:
     """Document frequencies over all ``texts`` (one column) of the frequent shingles."""
     spark = texts.sparkSession
-    local = written(texts.mapInArrow(_local, "hash long, docs long, total long"), "shingles")
+    local = written(texts.mapInArrow(released(_local), "hash long, docs long, total long"), "shingles")
     docs, total = local.agg(F.sum("docs"), F.sum("total")).first()
     docs, total = int(docs or 0), int(total or 0)
     least = docs / RARE + total / TABLE
@@ -131,7 +131,7 @@ def shingle_weights(texts: DataFrame, strength: float = IDF_STRENGTH) -> Weights
         part = np.sort(np.array([x.hash for x in candidates.where(F.pmod("hash", F.lit(parts)) == k).toLocalIterator()], np.int64).view(_U))
         if len(part):
             wanted = spark.sparkContext.broadcast(part)
-            rows = texts.mapInArrow(_counted(wanted), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least)).collect()  # no more than TABLE rows by the choice of least
+            rows = texts.mapInArrow(released(_counted(wanted)), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least)).collect()  # no more than TABLE rows by the choice of least
             keys.append(np.array([x.hash for x in rows], np.int64))
             df.append(np.array([x.n for x in rows], np.int64))
             wanted.unpersist()
@@ -248,6 +248,9 @@ def _linked(broadcast, threshold: float):
                 if group[a] != group[b]:
                     group[group == group[b]] = group[a]
                     links.append((a, b))
+        if len(data) > BLOCK_BYTES // 4:
+            del sets, number, weight, dense
+            give_back()
         ends = np.array(links, np.int64).reshape(-1, 2)
         node = lambda at: pa.StructArray.from_arrays([pa.array(ids[at], pa.int64()), pa.array(hashes[at], pa.int64())], ["id", "text_hash"])
         return pa.table({"a": node(ends[:, 0]), "b": node(ends[:, 1])})
@@ -328,7 +331,7 @@ def _classes(documents: DataFrame, threshold: float, id_column: str, text_column
     small_batches(spark)
     rows = documents.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(f"`{text_column}`").alias("text_hash"), F.col(f"`{text_column}`").cast("string").alias("x"))
     weights = spark.sparkContext.broadcast(shingle_weights(rows.select("x"), strength))
-    marks = written(rows.mapInArrow(_signatures(weights), "id long, text_hash long, size long, k1 long, k2 long, bands array<long>"), "signatures")
+    marks = written(rows.mapInArrow(released(_signatures(weights)), "id long, text_hash long, size long, k1 long, k2 long, bands array<long>"), "signatures")
     able = marks.where("id is not null and k1 is not null")
     heads = able.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash", "size")).alias("head"), F.first("bands").alias("bands"))
     heads = written(heads.select("k1", "k2", "head.*", "bands"), "heads")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from ..scratch import drop_written, shared_folder, written
 
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-__all__ = ["components", "drop_written", "free_name", "input_bytes", "shared_folder", "small_batches", "small_table", "written"]
+__all__ = ["components", "drop_written", "free_name", "give_back", "input_bytes", "released", "shared_folder", "small_batches", "small_table", "written"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -20,6 +24,28 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine. Workers live on for the next stage, and what Arrow's
+    pool and the C library keep of one task's peak would else lie idle beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that gives memory back as its task ends."""
+
+    @functools.wraps(run)
+    def ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return ended
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows that the driver knows. It goes by Arrow to the JVM: rows
     from a list would be pickled by Python workers, which then stay in the executors."""
