@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dice, jaccard, norm, words
+from ..scratch import written
 
 
 def dictionary_hits(docs: DataFrame, doc: str, text: str, terms: DataFrame, term: str, longest: int = 4) -> DataFrame:
@@ -46,16 +47,18 @@ def covered(items: DataFrame, item: str, item_words: str, docs: DataFrame, doc:
     one of any n - ceil(least n) + 1 of them: candidates meet on that many of the item's
     rarest words, and common words pair nothing.
     """
-    left = items.select(F.col(item).alias("item"), F.array_distinct(item_words).alias("a")).where(F.size("a") > 0)
-    right = docs.select(F.col(doc).alias("doc"), F.array_distinct(doc_words).alias("b"))
-    tokens = left.select("item", F.size("a").alias("n"), F.explode("a").alias("token"))
-    held = right.select("doc", F.explode("b").alias("token")).join(tokens.select("token").distinct(), "token")
+    tokens = items.select(F.col(item).alias("item"), F.array_distinct(item_words).alias("a")).select("item", F.size("a").alias("n"), F.explode("a").alias("token"))
+    each = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(doc_words)).alias("token"))
+    # texts are read once: what documents hold of the items' words is a table, read three times
+    held = written(each.join(tokens.select("token").distinct(), "token", "left_semi"), "held")
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), F.asc("token")))
-    rare = tokens.join(df, "token", "left").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    pairs = rare.select("item", "token").join(held, "token").select("item", "doc").distinct()
-    share = F.size(F.array_intersect("a", "b")) / F.size("a")
-    return pairs.join(left, "item").join(right, "doc").select("item", "doc", share.alias("coverage")).where(F.col("coverage") >= least)
+    most = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    ranked = written(tokens.join(df, "token", "left").withColumn("r", rank).select("item", "n", "token", (F.col("r") <= most).alias("rare")), "ranked")
+    pairs = ranked.where("rare").select("item", "token").join(held, "token").select("item", "doc").distinct()
+    hits = pairs.join(ranked.select("item", "n", "token"), "item").join(held, ["doc", "token"])
+    share = F.count("*") / F.first("n")
+    return hits.groupBy("item", "doc").agg(share.alias("coverage")).where(F.col("coverage") >= least)
 
 
 def with_lookup(df: DataFrame, table: DataFrame, on: list[str], default: dict[str, Column] | None = None) -> DataFrame:
