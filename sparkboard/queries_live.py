@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import catalog
 from .operators import locale, order, sketch
-from .plans import oplog, totals
+from .plans import ask, oplog, totals
 from .plans.spec import Chart, Filter, Kpi
 from .queries import AS_OF, day, query
 from .scratch import shared_folder
@@ -286,3 +286,47 @@ def _chunk_rows(t: DataFrame) -> DataFrame:
 
 
 query("chunk_function", "documents")(_chunk_rows)
+
+# ---- requests that end in rules -------------------------------------------------------------
+
+
+def _catalog(t: DataFrame) -> DataFrame:
+    """The columns of orders under the names that people say."""
+    kinds = {"o_orderdate": "date", "o_totalprice": "number", "o_orderstatus": "text", "o_orderpriority": "text"}
+    rows = [("orders", c.removeprefix("o_"), k, n) for n, (c, k) in enumerate(kinds.items())]
+    return t.sparkSession.createDataFrame(rows, "dataset string, column string, type string, position int")
+
+
+def _requests(t: DataFrame) -> DataFrame:
+    """A request for each order: what is asked for follows its status, priority and key; some names have typing errors."""
+    by = F.when(F.col("o_orderstatus") == "F", "orderdate").when(F.col("o_orderstatus") == "O", "orderpriorit").otherwise("orderstaus")
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "de pizza ").when(F.col("o_orderkey") % 3 == 1, "de barras ").otherwise("")
+    subject = F.when(F.col("o_orderkey") % 2 == 0, "total price").otherwise("pedidos")
+    return t.select("o_orderkey", F.concat(F.lit("Crie um gráfico "), kind, F.lit("de "), subject, F.lit(" por "), by).alias("text"))
+
+
+query(
+    "charts_asked",
+    "orders",
+    """SELECT o_orderkey, 'orders' AS dataset, CASE o_orderstatus WHEN 'F' THEN 'orderdate' WHEN 'O' THEN 'orderpriority' ELSE 'orderstatus' END AS x,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'totalprice' END AS y, CASE WHEN o_orderkey % 2 = 0 THEN 'sum' ELSE 'count' END AS agg,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'donut' WHEN o_orderstatus = 'F' THEN 'line' ELSE 'bar' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'month' END AS group_date FROM orders""",
+)(lambda t: ask.charts_asked(_requests(t), "o_orderkey", "text", _catalog(t), day(AS_OF)))
+query(
+    "changes_asked",
+    "nation",
+    """SELECT n_nationkey, 0 AS step, 'rename_tab' AS op, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 1, 'set_columns', CAST(n_nationkey % 4 + 1 AS VARCHAR) FROM nation
+    UNION ALL SELECT n_nationkey, 3, 'set_theme', CASE WHEN n_nationkey % 2 = 0 THEN 'dark' ELSE 'light' END FROM nation""",
+)(
+    lambda t: ask.changes_asked(
+        t.select(
+            "n_nationkey",
+            F.concat(
+                F.lit("Renomeie a aba para "), "n_name", F.lit("; use "), (F.col("n_nationkey") % 4 + 1).cast("string"), F.lit(" colunas; obrigado e depois tema "),
+                F.when(F.col("n_nationkey") % 2 == 0, "escuro").otherwise("claro"),
+            ).alias("text"),
+        ),
+        "n_nationkey",
+        "text",
+    ).select("n_nationkey", "step", "op", "value")
+)
