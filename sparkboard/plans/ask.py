@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dice, norm
+from ..scratch import written
 from . import request
 from .edit import edit
 
@@ -41,9 +42,12 @@ def charts_asked(requests: DataFrame, key: str, text: str, catalog: DataFrame, a
     dataset; then its values are summed, else rows are counted. A date is grouped by month, as a line unless another
     kind is asked for. Where no column is meant, dataset and x are null: the request is answered with a question.
     """
-    said = requests.select(F.col(f"`{key}`").alias("key"), request.widget(F.col(f"`{text}`"), as_of).alias("w")).where("w.type = 'chart'")
-    said = said.select("key", F.col("w.kind").alias("kind"), F.trim("w.by").alias("by"), F.trim("w.subject").alias("subject"))
-    found = columns_named(said.select(F.explode(F.array("by", "subject")).alias("word")), "word", catalog)
+    # each distinct request is read once; what it says is a table, which both lookups and the answer read
+    texts = requests.select(F.col(f"`{text}`").alias("text")).distinct().select("text", request.widget(F.col("text"), as_of).alias("w"))
+    read = written(texts.select("text", "w.type", "w.kind", F.trim("w.by").alias("by"), F.trim("w.subject").alias("subject")), "requests").where("type = 'chart'")
+    rows = requests.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("said"))
+    said = rows.join(read, F.col("said").eqNullSafe(F.col("text"))).select("key", "kind", "by", "subject")
+    found = columns_named(read.select(F.explode(F.array("by", "subject")).alias("word")), "word", catalog)
     x = found.select(F.col("word").alias("by"), "dataset", F.col("column").alias("x"), F.col("type").alias("x_type"))
     y = found.where("type = 'number'").select(F.col("word").alias("subject"), F.col("dataset").alias("y_dataset"), F.col("column").alias("y"))
     both = said.join(x, "by", "left").join(y, "subject", "left")
