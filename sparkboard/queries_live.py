@@ -45,14 +45,14 @@ def _changed(orders: DataFrame) -> DataFrame:
 @query(
     "live_kpis",
     "orders",
-    f"""SELECT 'total' AS name, round(sum(p), 0) AS value FROM {_NOW} UNION ALL SELECT 'open', count(*) FILTER (s = 'O') FROM {_NOW}
-    UNION ALL SELECT 'average', round(avg(p), 0) FROM {_NOW} UNION ALL SELECT 'largest', round(max(p), 0) FROM {_NOW}
-    UNION ALL SELECT 'smallest', round(min(p) FILTER (s = 'F'), 0) FROM {_NOW}""",
+    f"""SELECT 'total' AS name, round(sum(p), 2) AS value FROM {_NOW} UNION ALL SELECT 'open', count(*) FILTER (s = 'O') FROM {_NOW}
+    UNION ALL SELECT 'average', round(avg(p), 2) FROM {_NOW} UNION ALL SELECT 'largest', round(max(p), 2) FROM {_NOW}
+    UNION ALL SELECT 'smallest', round(min(p) FILTER (s = 'F'), 2) FROM {_NOW}""",
 )
 def _live_kpis(t: DataFrame) -> DataFrame:
     now, out = _changed(t), None
     for name in ("total", "open", "average", "largest", "smallest"):
-        row = views.shown(now, name, _VIEWS[name]).select(F.lit(name).alias("name"), F.round("value", 0).alias("value"))
+        row = views.shown(now, name, _VIEWS[name]).select(F.lit(name).alias("name"), F.round("value", 2).alias("value"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -60,10 +60,10 @@ def _live_kpis(t: DataFrame) -> DataFrame:
 query(
     "live_chart",
     "orders",
-    f"SELECT s AS label, round(sum(p), 0) AS v1, row_number() OVER (ORDER BY sum(p) DESC)::INT AS position FROM {_NOW} GROUP BY 1",
-)(lambda t: views.shown(_changed(t), "status", _VIEWS["status"]).withColumn("v1", F.round("v1", 0)))
-query("live_months", "orders", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(p), 0) AS v1 FROM {_NOW} GROUP BY 1")(
-    lambda t: views.shown(_changed(t), "months", _VIEWS["months"]).select("month", F.round("v1", 0).alias("v1"))
+    f"SELECT s AS label, round(sum(p), 2) AS v1, row_number() OVER (ORDER BY sum(p) DESC)::INT AS position FROM {_NOW} GROUP BY 1",
+)(lambda t: views.shown(_changed(t), "status", _VIEWS["status"]).withColumn("v1", F.round("v1", 2)))
+query("live_months", "orders", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(p), 2) AS v1 FROM {_NOW} GROUP BY 1")(
+    lambda t: views.shown(_changed(t), "months", _VIEWS["months"]).select("month", F.round("v1", 2).alias("v1"))
 )
 query(
     "live_top",
@@ -119,7 +119,7 @@ query(
 query(
     "range_frames",
     "orders",
-    """SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 0) AS total, round(first_value(d) OVER w, 0) AS first FROM
+    """SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS total, round(first_value(d) OVER w, 0) AS first FROM
     (SELECT *, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS d FROM orders) WINDOW w AS (ORDER BY d RANGE BETWEEN 7 PRECEDING AND CURRENT ROW)""",
 )(
     lambda t: order.over_range(
@@ -127,18 +127,18 @@ query(
         "d",
         7,
         {"n": "count(*)", "total": "sum(o_totalprice)", "first": "first_value(d)"},
-    ).select("o_orderkey", "n", F.round("total", 0).alias("total"), "first")
+    ).select("o_orderkey", "n", F.round("total", 2).alias("total"), "first")
 )
 
 # ---- totals and cross tables --------------------------------------------------------------
 
-_SUMS = "grouping_id({k})::BIGINT AS level, count(*) AS n, round(sum(l_extendedprice), 0) AS total FROM lineitem"
+_SUMS = "grouping_id({k})::BIGINT AS level, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem"
 _SHOW = ", ".join(f"CASE WHEN grouping({c}) = 1 THEN 'Total' ELSE CAST({c} AS VARCHAR) END AS {c}" for c in ("l_returnflag", "l_linestatus", "l_linenumber"))
 _KEYS = "l_returnflag, l_linestatus, l_linenumber"
 
 
 def _measures() -> dict:
-    return {"n": F.count("*"), "total": F.round(F.sum("l_extendedprice"), 0)}
+    return {"n": F.count("*"), "total": F.round(F.sum("l_extendedprice"), 2)}
 
 
 query("totals_rollup", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP BY ROLLUP ({_KEYS})")(lambda t: totals.with_totals(t, _KEYS.split(", "), _measures()))
@@ -149,9 +149,9 @@ query("totals_sets", "lineitem", f"SELECT {_SHOW}, {_SUMS.format(k=_KEYS)} GROUP
 query(
     "pivot_status",
     "orders",
-    """SELECT o_orderpriority, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS "F", round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS "O",
-    round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0) AS "P", round(sum(o_totalprice), 0) AS "Total" FROM orders GROUP BY 1""",
-)(lambda t: totals.pivoted(t, "o_orderpriority", "o_orderstatus", F.col("o_totalprice"), lambda c: F.round(F.sum(c), 0)))
+    """SELECT o_orderpriority, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS "F", round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS "O",
+    round(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 2) AS "P", round(sum(o_totalprice), 2) AS "Total" FROM orders GROUP BY 1""",
+)(lambda t: totals.pivoted(t, "o_orderpriority", "o_orderstatus", F.col("o_totalprice"), lambda c: F.round(F.sum(c), 2)))
 
 # ---- quantiles and sketches ---------------------------------------------------------------
 
