@@ -4,11 +4,18 @@ Markup is stripped to lines, one for each block of text. A line's length is what
 has outside links, white space not counted; lines inside elements that certainly hold
 no article (menus, forms, adverts and so on) have length 0. Where a page marks its
 articles, the lines are those of the article elements, else those of the main
-element, else all. Lengths are summed over sliding windows of ``WINDOW`` lines. Text
-surges where the sum rises from 0 and dives where it is back at 0; from each surge to
+element, else those of the containers whose text is dense (below). Lengths are summed
+over sliding windows of ``WINDOW`` lines. Text surges where the sum rises from 0 and dives where it is back at 0; from each surge to
 its dive, the lines from the first to the last with a length are kept. So one or two
 lines of links between others stay, and a list of links goes. No stretch is too short:
 a short section after such a list is article too.
+
+On a page that marks no article, the distribution of the sums decides which containers
+(``CONTAINERS``) hold it: each one's windows over its own lines, those of containers
+inside it left out, have a largest sum. It is article if that is at least ``SHARE`` of the
+largest on the page; so is everything inside it. Footers, notices and adverts that say
+so nowhere are containers of little text and go by this. A page whose text lies in its
+body itself, or in one container, keeps all of it.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 WINDOW = 3
+SHARE = 0.25
 
 _MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -38,6 +46,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select".split())
 CLOSED_BY = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
+CONTAINERS = frozenset("article aside center details div footer header main section".split())
 JUNK_ELEMENTS = frozenset("nav footer aside form button label fieldset legend dialog menu head object canvas audio video".split())
 JUNK_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations pagination pager search searchbox form widget skip complementary contentinfo masthead topbar toolbar".split()
@@ -118,8 +127,15 @@ def lines(page: str) -> list[tuple[str, int, int]]:
 
     article is 1 in an article element, 0 in one with a name of junk, -1 in a main element, -2 for none.
     """
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = [("", False, -2, False)]  # element, junk, article, link
+    return [x[:3] for x in _placed_lines(page)[0]]
+
+
+def _placed_lines(page: str) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """``lines`` with the number of the container around each, and the container around each container (0: the page, in itself)."""
+    out: list[tuple[str, int, int, int]] = []
+    around = [0]
+    stack: list[tuple[str, bool, int, bool, int]] = [("", False, -2, False, 0)]  # element, junk, article, link, container
+    place = 0
     opened: Counter[str] = Counter()
     text: list[str] = []
     free = 0
@@ -128,13 +144,13 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     def flush(article: int) -> None:
         nonlocal free, some
         if some:
-            out.append((" ".join("".join(text).split()), free, article))
+            out.append((" ".join("".join(text).split()), free, article, place))
         text.clear()
         free, some = 0, False
 
     def close(k: int) -> None:
         while len(stack) > k:
-            name, junk, article, _ = stack.pop()
+            name, junk, article, _, _ = stack.pop()
             opened[name] -= 1
             if name in BLOCK or junk != stack[-1][1] or article != stack[-1][2]:
                 flush(article)
@@ -150,10 +166,10 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         return 0
 
     for kind, name, attributes in _events(page):
-        _, junk, article, link = stack[-1]
+        _, junk, article, link, inner = stack[-1]
         if kind == "text":
             if not name.isspace():
-                some = True
+                some, place = True, inner
             if not junk:
                 piece = html.unescape(name) if "&" in name else name
                 text.append(piece)
@@ -173,7 +189,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             flush(article)
             while k := innermost(CLOSED_BY.get(name, ("p",)), True):  # elements that this one ends without a tag
                 close(k)
-            _, junk, article, link = stack[-1]
+            _, junk, article, link, inner = stack[-1]
         if name in VOID:
             continue
         if not junk:
@@ -191,18 +207,38 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 article = -1
         if junk != stack[-1][1] or article != stack[-1][2]:
             flush(stack[-1][2])
-        stack.append((name, junk, article, link or name == "a"))
+        if name in CONTAINERS:
+            around.append(inner)
+            inner = len(around) - 1
+        stack.append((name, junk, article, link or name == "a", inner))
         opened[name] += 1
     close(1)
     flush(-2)
-    return out
+    return out, around
+
+
+def _dense(found: list[tuple[str, int, int, int]], around: list[int]) -> list[tuple[str, int, int, int]]:
+    """The lines of containers with a window of at least ``SHARE`` of the page's largest, and of those inside them."""
+    lengths: dict[int, list[int]] = {}
+    for _, n, _, place in found:
+        lengths.setdefault(place, []).append(n)
+    peaks = {place: max(_sums(own)) for place, own in lengths.items()}
+    least = max(peaks.values(), default=0) * SHARE
+    dense: list[bool] = []
+    for place, outer in enumerate(around):  # a container comes after the one around it
+        dense.append(peaks.get(place, -1) >= least or place > 0 and dense[outer])
+    return [x for x in found if dense[x[3]]]
+
+
+def _sums(lengths: list[int]) -> list[int]:
+    return [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
 
 
 def stretches(lengths: list[int]) -> list[tuple[int, int]]:
     """(from, to) of the lines to keep, for each surge and its dive: from the first line
     with a length to the last one."""
     n = len(lengths)
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
+    sums = _sums(lengths)
     found, i = [], 0
     while i < n:
         if not sums[i]:
@@ -218,10 +254,12 @@ def stretches(lengths: list[int]) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     """The article's text, its blocks joined by spaces; empty if there is none."""
-    found = lines(page or "")
-    inside = max((article for text, _, article in found if text), default=-2)
-    own = [(text, n) for text, n, article in found if article == inside]
-    return " ".join(text for a, b in stretches([n for _, n in own]) for text, _ in own[a:b] if text)
+    found, around = _placed_lines(page or "")
+    inside = max((x[2] for x in found if x[0]), default=-2)
+    own = [x for x in found if x[2] == inside]
+    if inside == -2:
+        own = _dense(own, around)
+    return " ".join(x[0] for a, b in stretches([x[1] for x in own]) for x in own[a:b] if x[0])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
