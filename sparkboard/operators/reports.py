@@ -94,3 +94,55 @@ def document_alerts(kind: Column, text: Column, expired: Column, due: Column, ho
         if hours is not None:
             alerts += [F.when(F.array_contains(norms, n) & (hours < h), f"carga_horaria_nr{n}") for n, h in least.items()]
     return F.filter(F.array(*alerts), lambda x: x.isNotNull())
+
+
+#: How grave a described condition is, by the first pattern that matches, and points of a bulletin that has no others.
+SEVERITY = (Rule("Alto", r"grave|iminente|critic|risco de morte|exposta|energizad|sem guarda|altura|queda"),)
+POINTS = ("Pare, pense e planeje antes de iniciar a tarefa.", "Use os EPIs obrigatórios da área.", "Comunique qualquer condição insegura.")
+
+
+def inspections(cases: DataFrame, case: str, text: str, terms: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(case, position, hazard, kind, action, severity): the hazards that each description names, in the order of ``terms``
+    (hazard, words); a hazard is named where one of its words is part of the normal form.
+
+    A description that names none, a null and an empty one too, has one row: an unsafe
+    condition. Severity goes by the whole description and is Moderado if no pattern matches.
+    """
+    t = norm(F.coalesce(F.col(text), F.lit("")))
+    named = [F.when(F.greatest(*[F.contains("t", norm(F.lit(w))) for w in (*words, words[0])]), F.lit(hazard)) for hazard, words in terms]
+    hit = F.filter(F.array(*named), lambda x: x.isNotNull()) if named else F.array().cast("array<string>")
+    rows = cases.select(F.col(case).alias("case"), t.alias("t")).withColumn("hits", hit)
+    severity = F.when(F.col("t") == "", "Moderado").otherwise(first_match(F.col("t"), SEVERITY, "Moderado"))
+    each = rows.select("case", severity.alias("severity"), F.posexplode(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.lit("Condição insegura descrita")))).alias("position", "hazard"))
+    return each.select("case", (F.col("position") + 1).alias("position"), "hazard", hazard_class(F.col("hazard")).alias("kind"), corrective_action(F.col("hazard")).alias("action"), "severity")
+
+
+def bulletins(calls: DataFrame, call: str, activity: str, advice: str, talks: DataFrame, steps: DataFrame, most: int = 5) -> DataFrame:
+    """(call, subject, position, point): what a bulletin says: the points of its activity's talk, else the first ``most`` steps
+    of its advice, else ``POINTS``.
+
+    talks (activity, points) and steps (advice, steps) are keyed tables with arrays; one
+    without points counts as absent. A null activity or advice is none.
+    """
+    rows = calls.select(F.col(call).alias("call"), F.col(activity).alias("activity"), F.col(advice).alias("advice"))
+    full = lambda t, key, items: t.where(F.size(items) > 0).select(key, F.col(items).alias(f"_{key}"))
+    joined = rows.join(full(talks, "activity", "points"), "activity", "left").join(full(steps, "advice", "steps"), "advice", "left")
+    points = F.coalesce(F.col("_activity"), F.slice("_advice", 1, most), F.array(*map(F.lit, POINTS)))
+    subject = F.when(F.col("_activity").isNotNull(), F.col("activity")).when(F.col("_advice").isNotNull(), F.col("advice")).otherwise("Segurança em primeiro lugar")
+    return joined.select("call", subject.alias("subject"), F.posexplode(points).alias("position", "point")).withColumn("position", F.col("position") + 1)
+
+
+def trainings(courses: DataFrame, course: str, activity: str, norm_id: str, contents: DataFrame, hazards: DataFrame, most: int = 5) -> DataFrame:
+    """(course, hours, position, module): what a course teaches: the modules of its norm, else of its activity: the rules, its
+    ``most`` worst hazards, protective equipment, emergencies.
+
+    contents (norm, hours, modules) is keyed by norm. Hazards of an activity are ranked
+    once, whatever the number of courses. A course whose activity has no hazards keeps the
+    other three modules; hours are null without a norm.
+    """
+    rows = courses.select(F.col(course).alias("course"), F.col(activity).alias("activity"), F.col(norm_id).alias("norm"))
+    worst = top_hazards(hazards, most).groupBy("activity").agg(F.array_sort(F.collect_list(F.struct("rank", "hazard"))).alias("h"))  # ``most`` at most
+    worst = worst.select("activity", F.transform("h.hazard", lambda x: F.concat(x, F.lit(" — prevenção e controle"))).alias("own"))
+    joined = rows.join(contents.where(F.size("modules") > 0).select("norm", "hours", "modules"), "norm", "left").join(worst, "activity", "left")
+    made = F.concat(F.array(F.lit("Normas e procedimentos aplicáveis")), F.coalesce("own", F.array().cast("array<string>")), F.array(F.lit("EPIs: seleção, uso, inspeção e conservação"), F.lit("Situações de emergência")))
+    return joined.select("course", "hours", F.posexplode(F.coalesce("modules", made)).alias("position", "module")).withColumn("position", F.col("position") + 1)

@@ -274,4 +274,4 @@ query("conversation_markdown", "conversations", "SELECT conv_id, string_agg(line
 query("state_round_trip", "customer", "SELECT c_custkey, c_name, c_mktsegment, 'pt' AS language FROM customer")(lambda t: sinks.import_state(sinks.export_state(t.select("c_custkey", "c_name", "c_mktsegment")), "c_custkey long, c_name string, c_mktsegment string, language string", {"language": "pt"}))
 
 
-from . import queries_live  # noqa: E402, F401 - registers further queries
+from . import queries_guide, queries_live  # noqa: E402, F401 - register further queries
