@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalised, norm, truncated
+from ..scratch import written
 from . import retrieval
 from .classify import Rule
 
@@ -56,7 +57,9 @@ def entries(norms: DataFrame | None = None, glossary: DataFrame | None = None, a
 
 def found(questions: DataFrame, question: str, text: str, known: DataFrame, k: int = 3, fuzzy: bool = True, stems: bool = True) -> DataFrame:
     """(question, rank, kind, id, score, coverage): the k best entries by BM25; scores equal to nine digits fall to the first entry."""
+    known = written(known, "known")
     index = retrieval.build_index(known, "entry", "t", stems)
+    index = retrieval.Index(written(index.postings, "postings"), written(index.vocabulary, "vocabulary"), written(index.totals, "totals"))
     scored = retrieval.bm25(index, questions, question, text, k=None, fuzzy=fuzzy, stems=stems).withColumnRenamed("query", "question")
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
