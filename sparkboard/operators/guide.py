@@ -60,7 +60,7 @@ def found(questions: DataFrame, question: str, text: str, known: DataFrame, k: i
     known = written(known, "known")
     index = retrieval.build_index(known, "entry", "t", stems)
     index = retrieval.Index(written(index.postings, "postings"), written(index.vocabulary, "vocabulary"), written(index.totals, "totals"))
-    scored = retrieval.bm25(index, questions, question, text, k=None, fuzzy=fuzzy, stems=stems).withColumnRenamed("query", "question")
+    scored = retrieval.bm25(index, questions, question, text, k=None, fuzzy=fuzzy, stems=stems, many=True).withColumnRenamed("query", "question")
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(known.select(F.col("entry").alias("doc"), "kind", "id"), "doc").select("question", "rank", "kind", "id", "score", "coverage")
