@@ -34,3 +34,18 @@ def test_stemmed_bm25_shuffles_no_text(spark):
     best = retrieval.bm25_best(docs, "id", "t", asked, "q", "t", 3, fuzzy=True, stems=True)
     assert {r["query"]: r.n for r in best.groupBy("query").agg(F.count("*").alias("n")).collect()} == {1: 3, 2: 3}
     assert "MapInArrow" in plan(best) and "explode" not in plan(best)
+
+
+def test_dislikes_read_an_answer_once(spark):
+    from sparkboard.operators import memory
+
+    rng = random.Random(2)
+    said = [(rng.choice("ab"), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for _ in range(150)]
+    answers = spark.createDataFrame(said, "intent string, text string")
+    bad = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(said[:40])], "intent string, text string, at int")
+    like = lambda x, y: bool(x | y) and len(x & y) / len(x | y) > 0.6
+    want = sorted((i, t) for i, t in said if any(i == j and like(set(t.split()), set(u.split())) for j, u in said[10:40]))
+    got = memory.disliked(answers, bad, most=30, least=0.6)
+    assert sorted((r.intent, r.text) for r in got.collect()) == want
+    assert got.columns == ["intent", "text"]
+    assert "regexp_extract_all" not in plan(got).split("BroadcastHashJoin", 1)[1].split("\n")[0]
