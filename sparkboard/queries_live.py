@@ -276,7 +276,8 @@ query(
 query(
     "locale_groups",
     "conversations",
-    """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM conversations) SELECT min(word) AS word, count(*) AS n FROM w GROUP BY lower(strip_accents(word))""",
+    """WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM conversations) SELECT min(word) AS word, count(*) AS n FROM w
+    GROUP BY replace(replace(translate(lower(strip_accents(word)), 'øð', 'od'), 'æ', 'ae'), 'ß', 'ss')""",
 )(lambda t: locale.groups(t.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÖØ-öø-ÿ]+)"))).alias("word")), "word", {"n": F.count("*")}))
 
 
