@@ -74,3 +74,12 @@ def test_groups_of_the_language_are_those_of_the_sql(spark):
         con.execute("CREATE TABLE conversations (text VARCHAR)")
         con.executemany("INSERT INTO conversations VALUES (?)", [(w,) for w in words])
         assert sorted(con.execute(ORACLE_SQL["locale_groups"]).fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
+def folds(spark, c):
+    docs = spark.createDataFrame([("remova o gráfico de acidentes",)], "t string")
+    return plan(docs.select(c.alias("x"))).split("Project", 1)[1].split("\n")[0].count("translate(")
+
+
+def test_similar_names_are_folded_once(spark):
+    assert folds(spark, text.dice(F.col("t"), F.lit("x"))) <= 2 * folds(spark, text.norm(F.col("t")))
