@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm
+from ..functions.text import let, norm
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,12 @@ INTENTS: tuple[Rule, ...] = (
 
 def first_match(text: Column, rules: Sequence[Rule], default: str, context: dict[str, Column] | None = None) -> Column:
     """The result of the first rule that matches, as one CASE."""
-    t, out = norm(text), None
+    return let(norm(text), lambda t: first_of(t, rules, default, context))
+
+
+def first_of(t: Column, rules: Sequence[Rule], default: str, context: dict[str, Column] | None = None) -> Column:
+    """``first_match`` of a normal form that is there already."""
+    out = None
     for rule in rules:
         hit = t.rlike(rule.pattern)
         if rule.needs:
@@ -169,14 +174,22 @@ def doc_type_scores(docs: DataFrame, doc: str, text: str, types: Sequence[DocTyp
     t = F.concat(F.lit(" "), norm(F.col(text)), F.lit(" "))
     head = norm(F.substring(text, 1, 1500))
     scores = []
+    single = sorted({k for kind in types for k in kind.keywords if re.fullmatch("[A-Za-z0-9_]+", k)})
+
+    def times(k: str) -> Column:
+        if k in single:
+            return F.size(F.filter("said", lambda w: w == k))
+        return F.when(F.contains("t", F.lit(k)), F.regexp_count("t", F.lit(rf"(?<![A-Za-z0-9_]){re.escape(k)}(?![A-Za-z0-9_])"))).otherwise(0)
+
     for kind in types:
         s = F.lit(0)
         for k in kind.keywords:
-            s = s + F.least(F.lit(4), F.regexp_count("t", F.lit(rf"(?<![A-Za-z0-9_]){re.escape(k)}(?![A-Za-z0-9_])")))
+            s = s + F.least(F.lit(4), times(k))
         for k in kind.strong:
             s = s + F.when(F.contains(F.col("head"), F.lit(k)), 12).when(F.contains(F.col("t"), F.lit(k)), 5).otherwise(0)
         scores.append(F.struct(F.lit(kind.name).alias("type"), s.cast("int").alias("score")))
     rows = docs.select(F.col(doc).alias("doc"), t.alias("t"), head.alias("head"))
+    rows = rows.withColumn("said", F.filter(F.split("t", "[^A-Za-z0-9_]+"), lambda w: w.isin(*single)))  # split once, for all keywords of one word
     return rows.select("doc", F.explode(F.array(*scores)).alias("s")).select("doc", "s.type", "s.score")
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_name, norm, split_list
-from ..operators.classify import Rule, first_match
+from ..functions.text import clean_name, let, norm, split_list
+from ..operators.classify import Rule, first_of
 
 # The words, or their stems, that name blocks, changes and sub-tabs.
 _BLOCK = r"(grafico|kpi|indicador|card|tabela|nota|checklist|contador|formulario|calculadora|links?|bloco|meta|progresso|widget)s?"
@@ -61,8 +61,12 @@ def edit(text: Column) -> Column:
     new name, colour, theme, kind, width (1 to 4), place (first, last or a sub-tab) or number.
     """
     raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    t = norm(raw)
-    op = F.when(t == "", "none").otherwise(first_match(raw, EDIT_RULES, "none"))
+    said = let(raw, lambda r: F.struct(r.alias("raw"), norm(r).alias("t")))
+    op = lambda s: F.when(s["t"] == "", "none").otherwise(first_of(s["t"], EDIT_RULES, "none"))
+    return let(said, lambda s: let(op(s), lambda o: _edit(s["raw"], s["t"], o)))  # the normal form and the operation are found once
+
+
+def _edit(raw: Column, t: Column, op: Column) -> Column:
     new_name = _part(raw, r"(?i)^.* para [\"“']?(.+?)[\"”']?$")
     subtab = F.coalesce(_part(raw, r"(?i)sub[ -]?aba [\"“']?(.+?)[\"”']? para "), _part(raw, r"(?i)sub[ -]?aba [\"“']?(.+?)[\"”']?$"))
     block = r"(?i)\b(?:gr[aá]fico|kpi|indicador|card|tabela|nota|checklist|contador|formul[aá]rio|calculadora|links?|bloco|meta|progresso|widget)s?\b"
@@ -76,7 +80,7 @@ def edit(text: Column) -> Column:
         .when(is_("set_theme"), F.when(t.rlike(DARK), "dark").otherwise("light"))
         .when(is_("set_color"), F.regexp_extract(t, COLOUR, 1))
         .when(is_("set_description"), _part(raw, DESCRIPTION))
-        .when(is_("set_kind"), first_match(raw, KIND_RULES, "bar"))
+        .when(is_("set_kind"), first_of(t, KIND_RULES, "bar"))
         .when(is_("set_span"), width)
         .when(is_("move_widget"), place)
     )

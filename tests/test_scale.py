@@ -83,3 +83,20 @@ def folds(spark, c):
 
 def test_similar_names_are_folded_once(spark):
     assert folds(spark, text.dice(F.col("t"), F.lit("x"))) <= 2 * folds(spark, text.norm(F.col("t")))
+
+
+def test_types_of_documents_count_words_of_one_split(spark):
+    from sparkboard.operators import classify
+
+    kinds = (classify.DocType("x", ("the", "n/a", "o_k", "a b")),)
+    docs = spark.createDataFrame([(1, "The the, the_ n/a n/a o_k a b a bc"), (2, None), (3, "the " * 9)], "id int, t string")
+    got = classify.doc_type_scores(docs, "id", "t", kinds)
+    assert {r.doc: r.score for r in got.collect()} == {1: 6, 2: 0, 3: 4}
+    assert "split(" in plan(got)
+
+
+def test_rules_read_the_normal_form_once(spark):
+    from sparkboard.operators import classify
+    from sparkboard.plans import edit
+
+    assert folds(spark, classify.intent(F.col("t"))) == folds(spark, edit.edit(F.col("t"))) == folds(spark, text.norm(F.col("t")))
