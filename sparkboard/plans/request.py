@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.entities import pairs, url
 from ..functions.numbers import parse_number
-from ..functions.text import norm
-from ..operators.classify import Rule, first_match
+from ..functions.text import let, norm
+from ..operators.classify import Rule, first_of
 
 #: Words that ask for a widget, the first that is found decides.
 WIDGET_RULES = (
@@ -59,17 +59,24 @@ def widget(text: Column, as_of: Column) -> Column:
     A request that names no widget, null too, asks for a chart, in bars unless it says
     otherwise. ``by`` is the column to group by, ``pairs`` are data in the request itself.
     """
-    t, raw = norm(text), F.coalesce(text, F.lit(""))
-    type_ = F.when(t == "", "chart").otherwise(first_match(text, WIDGET_RULES, "chart"))
+    named = lambda t: F.struct(
+        F.when(t == "", "chart").otherwise(first_of(t, WIDGET_RULES, "chart")).alias("type"),
+        F.when(t == "", "bar").otherwise(first_of(t, CHART_RULES, "bar")).alias("kind"),
+        _first(t, BY).alias("by"),
+        _first(t, SUBJECT).alias("subject"),
+        first_of(t, FORMULA_RULES, "").alias("formula"),
+    )
+    # the normal form, and what rules and patterns find in it, is made once
+    return let(let(norm(text), named), lambda s: _widget(F.coalesce(text, F.lit("")), s["type"], s["kind"], s["by"], s["subject"], s["formula"], as_of))
+
+
+def _widget(raw: Column, type_: Column, kind: Column, by: Column, subject: Column, formula: Column, as_of: Column) -> Column:
     numbers = F.transform(F.regexp_extract_all(raw, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), parse_number)
     only = lambda kinds, value: F.when(type_.isin(*kinds), value)
     value = F.when(type_ == "kpi", parse_number(_first(raw, KPI_VALUE))).when((type_ == "progress") & (F.size(numbers) > 1), F.array_min(numbers)).when(type_ == "progress", F.lit(0.0))
     most = only(("progress",), F.coalesce(F.array_max(numbers), F.lit(100.0)))
     items = F.filter(F.transform(F.split(_first(raw, ITEMS), ITEM_BREAK), lambda x: F.trim(F.regexp_replace(x, r"^itens\s*:?\s*", ""))), lambda x: x != "")
-    by = _first(t, BY)
-    subject = _first(t, SUBJECT)
     subject = F.when(~subject.rlike(NO_SUBJECT), subject)
-    kind = F.when(t == "", "bar").otherwise(first_match(text, CHART_RULES, "bar"))
     kind = F.when((kind == "bar") & by.rlike(r"mes|data|periodo"), "line").otherwise(kind)
     return F.struct(
         type_.alias("type"),
@@ -83,5 +90,5 @@ def widget(text: Column, as_of: Column) -> Column:
         only(("note",), _first(raw, NOTE_TEXT)).alias("text"),
         only(("chart",), pairs(raw)).alias("pairs"),
         only(("site", "links"), url(raw)).alias("url"),
-        only(("calc",), F.coalesce(_first(raw, FORMULA), first_match(text, FORMULA_RULES, ""))).alias("formula"),
+        only(("calc",), F.coalesce(_first(raw, FORMULA), formula)).alias("formula"),
     )

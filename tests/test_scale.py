@@ -100,3 +100,10 @@ def test_rules_read_the_normal_form_once(spark):
     from sparkboard.plans import edit
 
     assert folds(spark, classify.intent(F.col("t"))) == folds(spark, edit.edit(F.col("t"))) == folds(spark, text.norm(F.col("t")))
+
+
+def test_widgets_read_the_normal_form_once(spark):
+    from sparkboard.plans import request
+
+    asked = request.widget(F.col("t"), F.lit("2026-09-28").cast("date"))
+    assert folds(spark, asked) <= 2 * folds(spark, text.norm(F.col("t")))  # months in its data are folded too
