@@ -42,12 +42,17 @@ def activity_terms(activities: DataFrame, hints: DataFrame | None = None) -> Dat
     return every.groupBy("term", "activity").agg(F.max("score").alias("score"))
 
 
+def _stated(terms: DataFrame) -> DataFrame:
+    """``terms``, to be sent to the texts where they are few enough."""
+    return F.broadcast(terms) if retrieval.small(terms) else terms
+
+
 def _near_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, activity, score) of long single words with a typing error: one edit, two from nine letters on."""
     near = terms.where(~F.contains("term", F.lit(" ")) & (F.length("term") >= 6)).select("term", "activity", F.when(F.length("term") >= 9, 2).otherwise(1).alias("most"), F.substring("term", 1, 1).alias("letter"), F.length("term").alias("size"))
     keyed = words.withColumn("letter", F.substring("word", 1, 1)).withColumn("size", F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)))
     d = F.levenshtein("word", "term", 2)
-    return keyed.join(near, ["letter", "size"]).where((d >= 0) & (d <= F.col("most"))).select("doc", "activity", F.lit(6).alias("score")).distinct()
+    return keyed.join(_stated(near), ["letter", "size"]).where((d >= 0) & (d <= F.col("most"))).select("doc", "activity", F.lit(6).alias("score")).distinct()
 
 
 def find_activities(docs: DataFrame, doc: str, text: str, activities: DataFrame, hints: DataFrame | None = None, implied: DataFrame | None = None, most: int = 3) -> DataFrame:
@@ -59,9 +64,9 @@ def find_activities(docs: DataFrame, doc: str, text: str, activities: DataFrame,
     """
     terms = activity_terms(activities, hints)
     rows = docs.select(F.col(doc).alias("doc"), plain(F.col(text)).alias("t"))
-    exact = _with_grams(rows, terms).select("doc", F.col("gram").alias("term")).join(terms, "term").groupBy("doc", "activity").agg(F.max("score").alias("score"))
-    words = rows.join(exact.select("doc"), "doc", "left_anti").select("doc", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).where(F.length("word") >= 6)
-    found = exact.union(_near_terms(words, terms))
+    exact = _with_grams(rows, terms).select("doc", F.col("gram").alias("term")).join(_stated(terms), "term").groupBy("doc", "activity").agg(F.max("score").alias("score"))
+    words = rows.select("doc", F.explode(F.filter(F.array_distinct(F.split("t", " ")), lambda w: F.length(w) >= 6)).alias("word"))
+    found = exact.union(_near_terms(words, terms).join(exact.select("doc"), "doc", "left_anti"))  # what was found is dealt by document, texts are not
     if implied is not None:
         inner = found.select("doc", "activity").join(implied, "activity").select("doc", F.col("contains").alias("activity"))
         found = found.join(inner, ["doc", "activity"], "left_anti")
@@ -82,6 +87,6 @@ def find_glossary(docs: DataFrame, doc: str, text: str, glossary: DataFrame) ->
     letters or fewer count in texts of up to six words only."""
     names = glossary.select("term", "definition", F.explode(F.concat(F.array("term"), F.split(F.coalesce("aliases", F.lit("")), ","))).alias("n")).select("term", "definition", plain(F.col("n")).alias("gram")).where("gram <> ''")
     rows = docs.select(F.col(doc).alias("doc"), plain(F.col(text)).alias("t")).withColumn("n_words", F.size(F.split("t", " ")))
-    hits = _with_grams(rows, names.select(F.col("gram").alias("term"))).select("doc", "n_words", "gram").join(names, "gram").where((F.length("gram") > 3) | (F.col("n_words") <= 6))
+    hits = _with_grams(rows, names.select(F.col("gram").alias("term"))).select("doc", "n_words", "gram").join(_stated(names), "gram").where((F.length("gram") > 3) | (F.col("n_words") <= 6))
     best = hits.groupBy("doc").agg(F.max(F.struct(F.length("gram").alias("n"), "gram", "term", "definition")).alias("b"))
     return best.select("doc", "b.term", "b.definition")

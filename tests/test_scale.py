@@ -107,3 +107,13 @@ def test_widgets_read_the_normal_form_once(spark):
 
     asked = request.widget(F.col("t"), F.lit("2026-09-28").cast("date"))
     assert folds(spark, asked) <= 2 * folds(spark, text.norm(F.col("t")))  # months in its data are folded too
+
+
+def test_activities_shuffle_no_text(spark):
+    from sparkboard.operators import knowledge
+
+    base = spark.createDataFrame([("altura", "trabalho em altura", ["andaime"])], "activity string, name string, terms array<string>")
+    said = spark.createDataFrame([(1, "o andaime"), (2, "andaimi"), (3, "trabalho em altura"), (4, None)], "id int, t string")
+    got = knowledge.find_activities(said, "id", "t", base)
+    assert sorted((r.doc, r.score) for r in got.collect()) == [(1, 7), (2, 6), (3, 40)]
+    assert plan(got).count("BroadcastHashJoin") >= 2
