@@ -131,3 +131,11 @@ def test_texts_go_to_python_in_small_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     retrieval.chunked(spark.createDataFrame([(1, "a")], "id int, t string"), "id", "t")
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    from sparkboard.sources import web
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    web.main_content(spark.createDataFrame([(1, "<p>a</p>")], "id int, t string"), "id", "t")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
