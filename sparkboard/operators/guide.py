@@ -58,12 +58,16 @@ def entries(norms: DataFrame | None = None, glossary: DataFrame | None = None, a
 def found(questions: DataFrame, question: str, text: str, known: DataFrame, k: int = 3, fuzzy: bool = True, stems: bool = True) -> DataFrame:
     """(question, rank, kind, id, score, coverage): the k best entries by BM25; scores equal to nine digits fall to the first entry."""
     known = written(known, "known")
-    index = retrieval.build_index(known, "entry", "t", stems)
-    index = retrieval.Index(written(index.postings, "postings"), written(index.vocabulary, "vocabulary"), written(index.totals, "totals"))
-    scored = retrieval.bm25(index, questions, question, text, k=None, fuzzy=fuzzy, stems=stems, many=True).withColumnRenamed("query", "question")
-    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(known.select(F.col("entry").alias("doc"), "kind", "id"), "doc").select("question", "rank", "kind", "id", "score", "coverage")
+    index = retrieval.written_index(retrieval.build_index(known, "entry", "t", stems))
+    # rows that share an id are one question; questions of one text are answered once
+    said = F.array_join(F.array_sort(F.collect_set(text)), " ").alias("said")
+    asked = questions.where(F.col(question).isNotNull()).groupBy(F.col(question).alias("question")).agg(said)
+    asked = written(asked.withColumn("same", F.sha2("said", 256)), "asked")
+    texts = asked.groupBy("same").agg(F.min("said").alias("said"))
+    scored = retrieval.bm25(index, texts, "same", "said", k=None, fuzzy=fuzzy, stems=stems, many=True).withColumnRenamed("query", "same")
+    rank = F.row_number().over(Window.partitionBy("same").orderBy(F.desc(F.round("score", 9)), F.asc("doc")))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= k).join(known.select(F.col("entry").alias("doc"), "kind", "id"), "doc")
+    return asked.select("question", "same").join(best, "same").select("question", "rank", "kind", "id", "score", "coverage")
 
 
 def answers(questions: DataFrame, question: str, text: str, known: DataFrame, fuzzy: bool = True, stems: bool = True) -> DataFrame:

@@ -146,3 +146,14 @@ def test_stems_of_requests_are_made_in_the_task(spark):
     got = retrieval.term_counts(rows, "id", "t")
     assert sorted(tuple(r) for r in got.collect()) == [(1, "extintor", 3), (1, "nr12", 1)]
     assert "MapInArrow" in plan(got)
+
+
+def test_questions_of_one_text_are_answered_once(spark):
+    from sparkboard.operators import guide
+
+    known = guide.entries(norms=spark.createDataFrame([(35, "Trabalho em altura", "cinto e linha de vida", "altura")], "number int, title string, summary string, keywords string"))
+    asked = spark.createDataFrame([(k, "trabalho em altura com cinto") for k in range(50)] + [(60, "trabalho em"), (60, "altura com cinto"), (None, "altura"), (70, None)], "q int, t string")
+    found = guide.found(asked, "q", "t", known, 1)
+    got = {r.question: (r.id, round(r.score, 9), r.coverage) for r in found.collect()}
+    assert set(got) == {*range(50), 60} and len(set(got.values())) == 1
+    assert "same" in plan(found)
